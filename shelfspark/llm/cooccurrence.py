@@ -13,20 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1 << 19
-
+from shelfspark.session import cut_lineage
 
-def distinct_records(df: DataFrame, spread: list[str], order: str, run: int = 64) -> DataFrame:
-    """Whole-row distinct of ``df``, with runs of neighbouring records kept together so that they compress in the shuffle.
-
-    Rows are hashed by ``spread`` and ``order div run``; a key that holds a third of the rows is thereby cut into runs.
-    """
-    keys = [*spread, "_run"]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        df.withColumn("_run", F.floor(F.coalesce(F.col(order), F.lit(0)) / run))
-        .repartition(n, *keys).dropDuplicates().drop("_run")
-    )
+BLOCK_ROWS = 1 << 19
 
 
 def _entries(codes: np.ndarray, basket: np.ndarray, n_items: int):
@@ -54,7 +43,8 @@ def _entries(codes: np.ndarray, basket: np.ndarray, n_items: int):
 
 
 def gram(baskets: DataFrame, items: str) -> DataFrame:
-    """``(item_a, item_b, n)`` for ``item_a <= item_b``: the baskets that hold both; equal items give the marginals.
+    """``(item_a, item_b, n)`` for ``item_a <= item_b``: the baskets that hold both; equal items give the marginals,
+    and a row with null items has the number of baskets that hold any.
 
     ``items`` is an array column; nulls in it and repeated items count once or not at all; empty baskets add nothing.
     """
@@ -76,6 +66,9 @@ def gram(baskets: DataFrame, items: str) -> DataFrame:
             words = words[order]
             if not len(words):
                 return
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([len(np.unique(basket[valid]))], pa.int64())],
+                ["item_a", "item_b", "n"])
             for keys, counts in _entries(rank[coded.indices.to_numpy()], basket[valid], len(words)):
                 for lo in range(0, len(keys), BLOCK_ROWS):
                     k = keys[lo:lo + BLOCK_ROWS]
@@ -97,34 +90,53 @@ def gram(baskets: DataFrame, items: str) -> DataFrame:
     return partial.groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
 
 
-def associations(baskets: DataFrame, items: str, n_records: DataFrame, least: int = 1) -> DataFrame:
-    """``(item_a, item_b, n_ab, n_a, n_b, n_total, lift)`` of item pairs with ``n_ab >= least``; ``n_records`` is one row."""
-    g = gram(baskets, items)
-    marginal = g.where(F.col("item_a") == F.col("item_b")).select(F.col("item_a").alias("_item"), F.col("n").alias("_n"))
-    pairs = g.where((F.col("item_a") != F.col("item_b")) & (F.col("n") >= least)).withColumnRenamed("n", "n_ab")
+def associations(baskets: DataFrame, items: str, least: int = 1) -> DataFrame:
+    """``(item_a, item_b, n_ab, n_a, n_b, n_total, lift)`` of the item pairs with ``n_ab >= least``.
+
+    ``n_total`` counts the baskets with an item. The product is formed once and written to the checkpoint folder: pairs,
+    marginals and the total are all read from it.
+    """
+    g = cut_lineage(gram(baskets, items).where((F.col("n") >= least) | F.col("item_a").isNull() | (F.col("item_a") == F.col("item_b"))))
+    single = g.where(F.col("item_a") == F.col("item_b"))
+    total = g.where(F.col("item_a").isNull()).select(F.col("n").alias("n_total"))
+    pairs = g.where(F.col("item_a") != F.col("item_b")).select("item_a", "item_b", F.col("n").alias("n_ab"))
     for side in "ab":
-        m = marginal.select(F.col("_item").alias(f"item_{side}"), F.col("_n").alias(f"n_{side}"))
-        pairs = pairs.join(m, f"item_{side}")
-    total = n_records.toDF("n_total")
+        pairs = pairs.join(single.select(F.col("item_a").alias(f"item_{side}"), F.col("n").alias(f"n_{side}")), f"item_{side}")
     return pairs.crossJoin(F.broadcast(total)).select(  # one row
         "item_a", "item_b", "n_ab", "n_a", "n_b", "n_total",
         (F.col("n_ab") * F.col("n_total") / (F.col("n_a").cast("double") * F.col("n_b"))).alias("lift"))
 
 
+RUN = 64  # neighbouring pairs that travel together and so compress
+
+
 def _pair_rows(pairs: DataFrame) -> DataFrame:
-    sound = pairs.where(F.col("next_token").isNotNull()).select("object_id", "field_id", "pair_no", "token", "next_token")
-    return distinct_records(sound, ["object_id", "field_id"], "pair_no")
+    """The distinct rows with a successor, as ``(token, next_token)``.
+
+    A row travels as one string, so that what it shares with its neighbours costs next to nothing in the shuffle; lengths
+    in its head make it exact whatever the texts hold. Runs of a field go to one task each, not whole fields.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = lambda c: F.coalesce(F.length(c), F.lit(-1)).cast("string")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    head = F.concat_ws(",", number("object_id"), number("pair_no"), size("field_id"), size("token"))
+    rows = pairs.where(F.col("next_token").isNotNull()).select(
+        F.pmod(F.xxhash64("object_id", "field_id", F.floor(F.col("pair_no") / RUN)), F.lit(n)).cast("int").alias("_task"),
+        F.concat(head, F.lit("|"), text("field_id"), text("token"), F.col("next_token")).alias("_row"))
+    once = rows.repartitionById(n, F.col("_task")).groupBy("_task", "_row").agg(F.count(F.lit(1)).alias("_n"))
+    head = F.substring_index("_row", "|", 1)
+    sizes = F.split(head, ",")
+    field, token = F.greatest(sizes[2].cast("int"), F.lit(0)), sizes[3].cast("int")
+    at = F.length(head) + 2 + field
+    return once.select(
+        F.when(token >= 0, F.substring("_row", at, token)).alias("token"),
+        F.substring("_row", at + F.greatest(token, F.lit(0)), F.lit(1 << 30)).alias("next_token"))
 
 
 def token_associations(pairs: DataFrame, least: int = 1) -> DataFrame:
     """Associations of the two tokens of each distinct row of ``token_pairs`` with a successor (a null token is no item)."""
-    rows = _pair_rows(pairs)
-    total = gram_total(rows)
-    return associations(rows.select(F.array("token", "next_token").alias("items")), "items", total, least)
-
-
-def gram_total(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count(F.lit(1)).alias("n_total"))
+    return associations(_pair_rows(pairs).select(F.array("token", "next_token").alias("items")), "items", least)
 
 
 def strong(assoc: DataFrame, least: int, lift: int) -> DataFrame:
@@ -138,4 +150,3 @@ def as_found(assoc: DataFrame) -> DataFrame:
     return assoc.select(F.col("item_a").alias("token_a"), F.col("item_b").alias("token_b")).distinct()
 
 
-__all__ = ["as_found", "associations", "distinct_records", "gram", "strong", "token_associations"]
