@@ -114,7 +114,7 @@ class Cost:
                 if c in _PUNCT:
                     bits += 1.0
                 elif c in _SIGNS and not core_from <= k < core_to and (k == 0 or w[k - 1] not in _SIGNS):
-                    bits += 3.0 if c in "«»—–№©“”„" else 6.0
+                    bits += 9.0 if c in "—–" and len(w) > 1 else 3.0 if c in "«»—–№©“”„" else 6.0
                 elif c in _FOREIGN:
                     bits += 6.0
                     if case == "l" and letters and c.isupper():
