@@ -83,7 +83,8 @@ def parse_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     whole = F.concat(F.col(raw), F.lit(";"))
     exact = F.regexp_extract_all(whole, F.lit(rf"\G({_FIELD});"), F.lit(1))
     usual = usual.withColumn("_read", read).withColumn(
-        "_sure", F.col("_read.corrupt").isNull() & F.col(raw).rlike(rf"\A{plain}\z"))
+        "_sure", F.col("_read").isNotNull() & F.col("_read.corrupt").isNull() & F.col(raw).rlike(rf"\A{plain}\z")
+        & (F.size(F.split(raw, ";")) == len(COLUMNS)))
     usual = usual.withColumn("_cells", F.when(~F.col("_sure"), exact)).withColumn(
         "_closed", F.col("_sure") | (F.length(F.concat_ws(";", "_cells")) == F.length(raw)))
     monsters = _monsters(base.where(quotes > QUOTES_IN_REGEX), raw)
