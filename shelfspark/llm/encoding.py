@@ -208,7 +208,7 @@ def regions(words: list[str], cost: Cost) -> list[tuple[int, int]]:
 
 
 # No sound word: letters of two scripts, signs within, characters that are in no alphabet.
-_ODD = re.compile(r"[a-zA-Z][\u0400-\u04ff]|[\u0400-\u04ff][a-zA-Z]|[\w][«»„“”•©°№—…‚„†‡ˆ‰‹›][\w]|[\u0080-\u00a0\ufffd¬®±§¶µ·¤¦¨¸€‰]|[а-яёѐ-џ][А-ЯЁЀ-Џ]|[—–“„][А-Яа-яЁё]|[А-Яа-яЁё][—–„]|^\W+$|[ЂЃЄЅЇЈЉЊЋЌЏђѓєѕїјљњћќџ].*[ЂЃЄЅЇЈЉЊЋЌЏђѓєѕїјљњћќџ]")
+_ODD = re.compile(r"[a-zA-Z][\u0400-\u04ff]|[\u0400-\u04ff][a-zA-Z]|[\w][«»„“”•©°№—…‚„†‡ˆ‰‹›][\w]|[\u0080-\u00a0\ufffd¬®±§¶µ·¤¦¨¸€‰]|[а-яёѐ-џ][А-ЯЁЀ-Џ]|[—–“„][А-Яа-яЁё]|[А-Яа-яЁё][—–„]|^[^\w«»—–№“”„’…•©°.,;:!?()-]+$|[ЂЃЄЅЇЈЉЊЋЌЏђѓєѕїјљњћќџ].*[ЂЃЄЅЇЈЉЊЋЌЏђѓєѕїјљњћќџ]")
 
 
 def _strange(w: str) -> bool:
