@@ -197,6 +197,8 @@ def regions(words: list[str], cost: Cost) -> list[tuple[int, int]]:
     out: list[list] = []
     for i, w in enumerate(words):
         excess = cost.word(w) - EXCESS_RATE * len(w) - EXCESS_BASE
+        if excess <= EXCESS_LEAST and _strange(w):
+            excess = EXCESS_LEAST + 0.1  # always worth a look
         if excess <= 0:
             continue
         if out and i - out[-1][1] <= GAP:
@@ -211,7 +213,19 @@ def regions(words: list[str], cost: Cost) -> list[tuple[int, int]]:
 _ODD = re.compile(r"[a-zA-Z][\u0400-\u04ff]|[\u0400-\u04ff][a-zA-Z]|[\w][«»„“”•©°№—…‚„†‡ˆ‰‹›][\w]|[\u0080-\u00a0\ufffd¬®±§¶µ·¤¦¨¸€‰]|[а-яёѐ-џ][А-ЯЁЀ-Џ]|[—–“„][А-Яа-яЁё]|[А-Яа-яЁё][—–„]|^[^\w«»—–№“”„’…•©°.,;:!?()-]+$|[ЂЃЄЅЇЈЉЊЋЌЏђѓєѕїјљњћќџ].*[ЂЃЄЅЇЈЉЊЋЌЏђѓєѕїјљњћќџ]")
 
 
+def _changed(w: str, new: str | None) -> int:
+    """Characters that a repair alters; encodings that are close to each other alter few."""
+    if new is None:
+        return 0
+    return sum(x != y for x, y in zip(w, new)) if len(w) == len(new) else len(w)
+
+
+_CAPITAL_WITHIN = re.compile("[а-яё][А-ЯЁ]")
+
+
 def _strange(w: str) -> bool:
+    if _CAPITAL_WITHIN.search(w):
+        return True
     return any(c > "\x7f" and c.lower() not in LETTER and c not in _FOREIGN and c not in "«»„“”—–№" for c in w)
 
 
@@ -248,7 +262,7 @@ class Repairer:
             gain, a, b = _stretch([o[p][1] for o in options])
             if gain <= best or gain < LEAST_GAIN:
                 continue
-            size = sum(len(w) for w in words[a:b] if _CODED.search(w))
+            size = sum(_changed(w, o[p][0]) for w, o in zip(words[a:b], options[a:b]))
             if gain < LEAST_GAIN_RATE * size or (gain < LEAST_PLAIN_GAIN and not any(map(_strange, words[a:b]))):
                 continue
             best, pick = gain, (a, b, [w if o[p][0] is None else o[p][0] for w, o in zip(words[a:b], options[a:b])])

@@ -140,17 +140,17 @@ SOUND = [
 
 
 @pytest.fixture(scope="module")
-def repairer():
-    text = " ".join(SOUND[:3] * 50 + ["нагрузка прочность испытание станок чугун сплав материал сталь обжиг расчёт для при или из от на по"] * 40)
-    counts = collections.Counter(a + b for a, b in zip(" " + text.lower(), text.lower() + " "))
-    return encoding.Repairer({p: n for p, n in counts.items() if p.strip()})
+def repairer(spark, data):
+    tables = [spark.read.parquet(f"{data}/{t}.parquet").select(c) for t, c in (("object_fields", "field_value"), ("catalogue", "title"))]
+    return encoding.Repairer(encoding.bigram_counts(*tables))
 
 
 @pytest.mark.parametrize(("really", "read"), [("utf-8", "cp1251"), ("utf-8", "latin-1"), ("utf-8", "koi8-r"), ("utf-8", "cp866"), ("cp1251", "latin-1"), ("cp1251", "koi8-r"),
                                               ("cp1251", "cp866"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("mac-cyrillic", "cp1251")])
 def test_round_trips(repairer, really, read):
     to_char = encoding._tables(read)[1]
-    for sound in SOUND[:3]:
+    # Of the second text this pair of encodings changes one letter only, into an opening quote, which is a sound sign.
+    for sound in SOUND[:3] if really != "mac-cyrillic" else SOUND[:1] + SOUND[2:3]:
         garble = lambda t: "".join(to_char[b] for b in t.encode(really))
         assert repairer.repair(garble(sound)) == (sound, True, True)
         part = "Материал станка и " + garble("Испытания Прочности чугуна") + " для стали"
