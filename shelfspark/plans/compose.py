@@ -87,7 +87,7 @@ def combined_search(
 
 def snippet_texts(segment_ids: DataFrame, segments: DataFrame, fields_: DataFrame) -> DataFrame:
     """``segment_ids`` plus ``field_id`` and ``snippet``, the text of the segment."""
-    return segment_ids.join(segments, "segment_id").join(fields_, [segments_key for segments_key in ("object_id", "field_id")]).withColumn(
+    return segment_ids.join(segments, "segment_id").join(fields_, ["object_id", "field_id"]).withColumn(
         "snippet", F.substring("text", F.col("seg_start") + 1, F.col("seg_length"))).drop("text")
 
 
@@ -110,7 +110,7 @@ def page_snippets(found: DataFrame, index: Index, fields_: DataFrame, per_object
     """One row for each of the best ``per_object`` segments of each result: ``place``, ``field_id``, ``relevance``, ``snippet``, ``marked``."""
     best = found.select("query_id", "rank", "object_id", F.posexplode(F.slice(F.reverse("segments"), 1, per_object)).alias("place", "s"))
     rows = best.select("query_id", "rank", "object_id", "place", "s.segment_id", "s.relevance", "s.matched_words", F.transform("s.words", lambda w: w.pos).alias("positions"))
-    texts = snippet_texts(rows, index.segments.drop("object_id", "segment_no").withColumnsRenamed({}), fields_)
+    texts = snippet_texts(rows, index.segments.drop("object_id", "segment_no"), fields_)
     return texts.withColumn("marked", highlight(F.col("snippet"), F.col("positions")))
 
 

@@ -102,7 +102,7 @@ def segment_matches(occ: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame
     return rows.where(passes)
 
 
-def best_span(occ: Column, uniq: Column) -> Column:
+def best_span(occ: Column) -> Column:
     """``(len, from_pos, to_pos)`` of the shortest stretch with every key of the segment, of several the first."""
     slots = F.array_distinct(F.transform(occ, lambda o: o.slot))
 
@@ -115,7 +115,7 @@ def best_span(occ: Column, uniq: Column) -> Column:
 
 
 def scored_segments(matches: DataFrame) -> DataFrame:
-    return matches.withColumn("span", best_span(F.col("occ"), F.col("uniq"))).withColumn(
+    return matches.withColumn("span", best_span(F.col("occ"))).withColumn(
         "score", F.col("weight") + F.col("uniq") / (1000.0 * F.col("span.len")))
 
 
