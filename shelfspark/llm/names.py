@@ -11,7 +11,8 @@
 3. A pair of records is linked if the cores differ by one typing error at most and initials, given names and patronymics
    agree as far as both are given. Links are gathered into components (pointer jumping over distinct records).
 4. Within a component, average-linkage clustering with similarity 0 between records that contradict each other keeps
-   apart different people who are joined only through an ambiguous spelling.
+   apart different people who are joined only through an ambiguous spelling. Cores further apart than one typing error
+   contradict nothing (two errors of one name are two apart): their similarity is low, and the average decides.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from shelfspark.session import cut_lineage
 COSINE = 0.05
 SHORT_GRAM = 0.1  # weight of a three-letter gram against a gapped one
 LINKAGE = 0.45
+FAR, FAR_LEAST = 0.4, 0.01  # similarity of cores more than one typing error apart: FAR times their bigram overlap
 
 # Romanisation, look-alikes, short forms of given names, roles.
 ROMAN = {
@@ -206,17 +208,33 @@ def _part_match(a: str, b: str) -> float | None:
     return 0.9 if _edits(a, b) <= 1 and len(short) > 3 else None
 
 
+def _overlap(a: str, b: str) -> float:
+    """Dice coefficient of the letter bigrams of two words, ends included."""
+    x, y = ({w[i:i + 2] for i in range(len(w) - 1)} for w in (f"^{a}$", f"^{b}$"))
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+def _one_error(a: str, b: str) -> bool:
+    """Equal, or one typing error apart; an error in a word of less than five letters makes another word."""
+    return a == b or min(len(a), len(b)) >= 5 and _edits(a, b) <= 1
+
+
+def may_be_one(x: tuple, y: tuple) -> bool:
+    """Whether two records ``(kind, core, given, patronymic, type)`` are linked."""
+    return x[0] == y[0] and _one_error(x[1], y[1]) and similarity(x, y) > 0
+
+
 def similarity(x: tuple, y: tuple) -> float:
-    """Of two records ``(kind, core, given, patronymic, type)``; 0 if they contradict each other."""
+    """Of two records ``(kind, core, given, patronymic, type)``; 0 only if they contradict each other."""
     if x[0] != y[0]:
         return 0.0
-    e = _edits(x[1], y[1])
-    if e > 1 or (e == 1 and min(len(x[1]), len(y[1])) < 5):
-        return 0.0
-    base = 1.0 - 0.2 * e
+    if x[1] == y[1]:
+        base = 1.0
+    else:
+        base = 0.8 if _one_error(x[1], y[1]) else max(FAR_LEAST, FAR * _overlap(x[1], y[1]))
     if x[0] == "o":
         return base if x[4] == y[4] else 0.0
-    if e and x[1][-1:] != y[1][-1:] and {x[1][-1:], y[1][-1:]} & {"a"}:
+    if x[1] != y[1] and x[1][-1:] != y[1][-1:] and {x[1][-1:], y[1][-1:]} & {"a"}:
         return 0.0  # a man's and a woman's surname
     g, p = _part_match(x[2], y[2]), _part_match(x[3], y[3])
     return 0.0 if g is None or p is None else base * g * p
@@ -314,8 +332,8 @@ def _linked(records: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            keep = [(r["x"]["id"], r["y"]["id"]) for r in rows if similarity(
-                *[tuple(r[k][f] for f in ("kind", "core", "given", "patronymic", "type")) for k in "xy"]) > 0]
+            keep = [(r["x"]["id"], r["y"]["id"]) for r in rows if may_be_one(
+                *[tuple(r[k][f] for f in ("kind", "core", "given", "patronymic", "type")) for k in "xy"])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64())], ["a", "b"])
 

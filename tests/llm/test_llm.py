@@ -201,6 +201,19 @@ def test_average_linkage_keeps_contradictions_apart():
     assert label[0] != label[2] and label[1] in (label[0], label[2])
 
 
+def test_two_errors_of_one_name_join_it(spark):
+    groups = [
+        ["Горный комбинат «Регамут»", 'ГК "Регамут"', "ГК Регамут", "Горный комбинат Регмаут", "ГК «Регямут»"],
+        ["Ренидофин Э. Ф.", "Э. Ф. Ренидофин", "Ренидфоин Э. Ф.", "Ренидофи Э. Ф."],
+        ["Ренидорин П. Ф."], ["Ренидофина Э. Ф."], ["НИИ «Регямут»"],
+    ]
+    df = spark.createDataFrame([(x,) for g in groups for x in g], "author string")
+    got = collections.defaultdict(set)
+    for r in names.linked_names(df).collect():
+        got[r["entity"]].add(r["name"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(100, 101)], "a long, b long")
     assert {r["id"]: r["root"] for r in names.components(links).collect()} == {**{i: 1 for i in range(1, 21)}, 100: 100, 101: 100}
