@@ -27,6 +27,11 @@ def p3_associations(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.token_associations(load(spark, d, "token_pairs"), 5).withColumn("lift", F.round("lift", 6))
 
 
+def p3_all_associations(spark: SparkSession, d: str) -> DataFrame:
+    """The full report: every pair that shares a row, also those under the five of ``p3_associations``."""
+    return cooccurrence.token_associations(load(spark, d, "token_pairs")).withColumn("lift", F.round("lift", 6))
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_cells({
         "catalogue": (load(spark, d, "catalogue"), ["title", "author"]),
@@ -100,7 +105,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_pieces, p3_found, p3_associations, p5_found, p5_repaired, p6_found, p6_entities, p7_found, p7_terms, p7_ngrams,
+    p2_found, p2_pieces, p3_found, p3_associations, p3_all_associations, p5_found, p5_repaired, p6_found, p6_entities, p7_found, p7_terms, p7_ngrams,
     p8_containers, p8_fill, p9_found, p9_report, p10_found, p10_redacted)}
 
 _P3 = """
@@ -126,6 +131,7 @@ ORACLES = {
     "p2_found": f"SELECT row_id FROM object_fields WHERE len(regexp_extract_all(field_value, '{WORDS}')) > 512",
     "p3_found": f"SELECT item_a AS token_a, item_b AS token_b FROM ({_P3}) WHERE n_ab * n_total >= 50 * n_a * n_b",
     "p3_associations": _P3,
+    "p3_all_associations": _P3.removesuffix(" WHERE n_ab >= 5"),
     "p7_found": f"SELECT token, mark FROM ({_P7}) WHERE mark IS NOT NULL",
     "p7_terms": _P7,
     "p7_ngrams": f"""

@@ -15,6 +15,11 @@ def test_queries_equal_their_sql(spark, data):
     compare(spark, QUERIES, ORACLES, ["p2_found", "p3_associations", "p7_terms", "p7_ngrams"], data)
 
 
+def test_all_associations_hold_the_rare_pairs(spark, data):
+    compare(spark, QUERIES, ORACLES, ["p3_all_associations"], data)
+    assert QUERIES["p3_all_associations"](spark, data).where("n_ab < 5").count() > 0
+
+
 # ------------------------------------------------------------------------------------------------------------ chunking
 
 words = st.lists(st.sampled_from(["слово", "word.", "конец!\n", "a,", "x\n\n", "—", "№5 "]), max_size=300)
