@@ -136,6 +136,26 @@ def test_pack_documents(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_found_and_kept_apart(spark):
+    rng = random.Random(5)
+    body = [f"w{i}" for i in range(200)]
+    texts = {0: body, 1: ["menu", "of", *body[:199], "2024"], 2: [*body[:190], *"another footer with links of the site".split()], 3: body[:120], 4: body[100:], 5: ["a"], 6: ["A"], 7: []}
+    for i in range(8, 60):
+        texts[i] = [f"v{j}" for j in range(60)]
+        for _ in range(rng.randint(0, 3)):
+            texts[i][rng.randrange(60)] = f"x{rng.randrange(9)}"
+    df = spark.createDataFrame([(i, " ".join(t), f"h{i}") for i, t in texts.items()] + [(98, None, "h"), (99, "w0w1w2 w3", "h"), (100, "w0 w1w2w3", "h")], "doc_id long, text string, host string")
+    parts = {i: {tuple(x.lower() for x in t[k:k + 5]) for k in range(max(1, len(t) - 4))} for i, t in texts.items() if t}
+    want = {(i, j) for i in parts for j in parts if parts[i] != parts[j] and len(parts[i] & parts[j]) * 5 >= 4 * len(parts[i] | parts[j])}
+    sets = packing.with_sets(df, "text")
+    ids = {r["doc_id"]: r["set_id"] for r in sets.collect()}
+    got = {(r["a"], r["b"]) for r in packing.near_pairs(sets).collect()}
+    assert got == {tuple(sorted((ids[i], ids[j]))) for i, j in want} and len(got) > 30
+    where = {r["doc_id"]: r["container_id"] for r in packing.pack(df).collect()}
+    assert len({where[i] for i in (0, 1, 2)}) == 3 and len({where[i] for i in range(8, 60)}) > 20
+    assert all(where[i] != where[j] for i, j in want) and where[5] != where[6] and where[99] != where[100]
+
+
 # ------------------------------------------------------------------------------------------------------------ encoding
 
 SOUND = [
