@@ -298,6 +298,24 @@ def test_entities(text, want):
     assert [(k, text[a:b]) for a, b, k in pii.find_entities(text)] == want
 
 
+LATIN_NAMES = [
+    "Jürgen Müller", "Anna Müller", "Zoë Brandt", "José Álvarez", "Hélène Lefèvre", "Łukasz Żak", "Ö. Müller", "JÜRGEN MÜLLER", "Ju\u0308rgen Mu\u0308ller", "Müller, Jürgen", "Søren Ærø",
+]
+
+
+@pytest.mark.parametrize("name", LATIN_NAMES)
+def test_names_with_any_letters(name):
+    text = f"geprüft hat {name}, gestern"
+    assert [text[a:b] for a, b, k in pii.find_entities(text)] == [name]
+    assert name not in pii.replace(text, [(12, 12 + len(name), "name")])[1]
+
+
+@pytest.mark.parametrize("name", ["Åsa Øst", "Íñigo Örn", "Νίκος Παππάς"])
+def test_announced_names_with_any_letters(name):
+    text = f"Signed by {name} yesterday"
+    assert [text[a:b] for a, b, _ in pii.find_entities(text)] == [name] and name.split()[1] not in pii.replace(text, pii.find_entities(text))[1]
+
+
 def test_replacement_keeps_the_rest_and_tells_entities_apart():
     text = "Иван Петров, Ivan@a.example, Анна Петрова и Иван Петров; 8 512 860-10-31"
     found = pii.find_entities(text)
