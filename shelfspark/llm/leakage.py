@@ -6,8 +6,9 @@ bits: two fingerprints within Hamming distance ``RADIUS`` agree in at least one
 block by block finds all item windows within the radius. A candidate is verified exactly: along its diagonal the texts
 are compared word by word, and the aligned stretch may hold single changed words only.
 
-The method's windows are as long as an item; here they are shorter, since items also leak in part. A stretch of
-``LEAST_WORDS`` words with single words changed in it has an unchanged window of ``WINDOW`` words unless more than two are changed.
+The method's windows are as long as an item; here they are shorter, since items also leak in part. A stretch that counts
+has ``LEAST_WORDS`` words or more, of which at most a quarter is changed, singly: then three unchanged words stand together
+somewhere (3m equal words of 4m in m + 1 runs at most), so that windows of three words lose none.
 
 Items are the small side: they are gathered once, with their number of words checked against ``ITEM_WORDS_LIMIT``; above
 that, blocks of items are looked up one after the other in the same pass over the documents' windows.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LEAST_WORDS, RADIUS = 4, 12, 3
+WINDOW, LEAST_WORDS, RADIUS = 3, 12, 3
 BITS = 64
 ITEM_WORDS_LIMIT = 4_000_000
 

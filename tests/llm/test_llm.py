@@ -265,6 +265,19 @@ def test_leaks(spark):
     assert leakage.leaked_items(df.limit(0), items).count() == 0 and leakage.leaked_items(df, items.limit(0)).count() == 0
 
 
+def test_leaks_with_every_fourth_word_changed(spark):
+    passage = [f"слово{i}" for i in range(30)]
+    items = spark.createDataFrame([(1, "Read.\n" + " ".join(passage))], "item_id long, item_text string")
+    docs = []
+    for n in (12, 15, 19, 23):
+        for first in range(4):
+            ws = [w if k % 4 != first or k in (0, n - 1) else f"иное{k}" for k, w in enumerate(passage[:n])]
+            if sum(w in passage for w in ws) * 4 >= n * 3:
+                docs.append((n * 10 + first, " ".join(ws)))
+    got = {r["doc_id"] for r in leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert 153 in got and got == {d for d, _ in docs}
+
+
 def test_near_fingerprints_are_all_found():
     rng = np.random.default_rng(3)
     index = leakage.ItemIndex([(1, [f"w{i}" for i in range(300)])])
