@@ -71,11 +71,19 @@ def p7_terms(spark: SparkSession, d: str) -> DataFrame:
     return termfreq.term_marks(load(spark, d, "index_chunks"))
 
 
+def _field_words(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "object_fields").select(
+        "object_id", F.regexp_extract_all(F.lower("field_value"), F.lit(WORDS), F.lit(0)).alias("words"))
+
+
 def p7_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """N-grams of up to three words of the indexed texts that occur five times or more; records are objects."""
-    fields = load(spark, d, "object_fields").select(
-        "object_id", F.regexp_extract_all(F.lower("field_value"), F.lit(WORDS), F.lit(0)).alias("words"))
-    return termfreq.ngram_counts(fields, "words", "object_id").withColumn("ngram", F.translate("ngram", termfreq.SEPARATOR, " "))
+    return termfreq.ngram_counts(_field_words(spark, d), "words", "object_id").withColumn("ngram", F.translate("ngram", termfreq.SEPARATOR, " "))
+
+
+def p7_ngram_marks(spark: SparkSession, d: str) -> DataFrame:
+    """All n-grams of up to three words of the indexed texts, the rare and the common ones marked; records are objects."""
+    return termfreq.ngram_marks(_field_words(spark, d), "words", "object_id").withColumn("ngram", F.translate("ngram", termfreq.SEPARATOR, " "))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +113,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_pieces, p3_found, p3_associations, p3_all_associations, p5_found, p5_repaired, p6_found, p6_entities, p7_found, p7_terms, p7_ngrams,
+    p2_found, p2_pieces, p3_found, p3_associations, p3_all_associations, p5_found, p5_repaired, p6_found, p6_entities, p7_found, p7_terms, p7_ngrams, p7_ngram_marks,
     p8_containers, p8_fill, p9_found, p9_report, p10_found, p10_redacted)}
 
 _P3 = """
@@ -141,3 +149,7 @@ n AS (SELECT object_id, unnest([1, 2, 3]) AS n, ws, i FROM g)
 SELECT array_to_string(ws[i:i + n - 1], ' ') AS ngram, CAST(n AS INTEGER) AS n, count(*) AS frequency, count(DISTINCT object_id) AS records
 FROM n WHERE i + n - 1 <= len(ws) GROUP BY 1, 2 HAVING count(*) >= 5""",
 }
+ORACLES["p7_ngram_marks"] = f"""
+WITH a AS ({ORACLES["p7_ngrams"].removesuffix(" HAVING count(*) >= 5")}),
+t AS (SELECT count(DISTINCT object_id) AS n_records FROM object_fields WHERE len(regexp_extract_all(field_value, '{WORDS}')) > 0)
+SELECT a.*, n_records, CASE WHEN frequency < 5 THEN 'rare' WHEN records * 100 >= n_records * 40 THEN 'common' END AS mark FROM a CROSS JOIN t"""

@@ -145,10 +145,22 @@ def ngram_counts(fields: DataFrame, words: str, record: str, sigma: int = 3, lea
     """
     rows = fields.select(
         F.monotonically_increasing_id().alias("_text"), F.col(record).cast("long").alias("_record"), F.col(words).alias("_words"))
-    suffixes = rows.select("_text", "_record", "_words", F.posexplode("_words").alias("_at", "_w")).select(
-        F.array_join(F.slice("_words", F.col("_at") + 1, F.lit(sigma)), SEPARATOR).alias("suffix"),
+    # Suffixes are cut before the explode: else each of its rows would carry the whole text.
+    cut = F.transform("_words", lambda w, i: F.array_join(F.slice("_words", i + 1, F.lit(sigma)), SEPARATOR))
+    suffixes = rows.select("_text", "_record", F.posexplode(cut).alias("_at", "suffix")).select(
+        "suffix",
         # A code here is (hash of text and place) and record, unique enough to tell occurrences of one n-gram apart.
         F.array(F.shiftleft(F.xxhash64("_text", "_at").bitwiseAND(F.lit((1 << 39) - 1)), 24).bitwiseOR(F.col("_record"))).alias("codes"))
     counted = suffix_counts(suffixes, "suffix", "codes", sigma, shift=0, bits=24)
     return counted.where(F.col("frequency") >= least).select(
         "ngram", F.size(F.split("ngram", SEPARATOR)).alias("n"), "frequency", "records")
+
+
+def ngram_marks(fields: DataFrame, words: str, record: str, sigma: int = 3, rare_below: int = 5, common_percent: int = 40) -> DataFrame:
+    """``(ngram, n, frequency, records, n_records, mark)`` of all n-grams of up to ``sigma`` terms, with marks as in ``term_marks``.
+
+    ``n_records`` counts the records with a word.
+    """
+    total = fields.where(F.size(words) > 0).agg(F.countDistinct(record).alias("n_records"))  # one row
+    return ngram_counts(fields, words, record, sigma, 1).crossJoin(F.broadcast(total)).withColumn(
+        "mark", F.when(F.col("frequency") < rare_below, "rare").when(F.col("records") * 100 >= F.col("n_records") * common_percent, "common"))

@@ -97,6 +97,12 @@ def test_suffix_counts_equal_brute_force(spark):
     assert got == {g: (n, len(seen[g])) for g, n in want.items()}
 
 
+def test_rare_ngrams_are_marked_not_dropped(spark, data):
+    compare(spark, QUERIES, ORACLES, ["p7_ngram_marks"], data)
+    marks = {r["mark"] for r in QUERIES["p7_ngram_marks"](spark, data).select("mark").distinct().collect()}
+    assert marks == {"rare", "common", None}
+
+
 def test_term_marks(spark):
     code = lambda s, o, p=0: s * 2**28 + o * 2**8 + p * 4
     hot = [code(i, i % 50) for i in range(900)]
