@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -341,11 +342,16 @@ def _linked(records: DataFrame) -> DataFrame:
     return pairs.repartition(n).mapInArrow(run, "a long, b long")  # little data but much work a row: not to be merged into one task
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """``(id, root)`` of all linked ids: each takes the least root among itself and its neighbours, until none changes."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``(id, root)`` of all linked ids: each takes the least root among itself and its neighbours, until none changes.
+
+    If ``rounds`` is given and more are needed, that is an error; roots that still move are never returned.
+    """
     edges = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
-    for _ in range(rounds):
+    for k in itertools.count():
+        if k == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         near = edges.join(roots.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
         new = roots.join(near, "id").select("id", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved"))
         # pointer jumping: the root's own root
@@ -354,7 +360,6 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
         if new.where("moved").isEmpty():
             return new.select("id", "root")
         roots = new.select("id", "root")
-    return roots
 
 
 def linked_names(names: DataFrame, name: str = "author") -> DataFrame:

@@ -250,6 +250,12 @@ def test_components(spark):
     assert {r["id"]: r["root"] for r in names.components(links).collect()} == {**{i: 1 for i in range(1, 21)}, 100: 100, 101: 100}
 
 
+def test_components_that_still_change_are_not_returned(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        names.components(links, 1)
+
+
 # ------------------------------------------------------------------------------------------------------------- leakage
 
 
