@@ -34,8 +34,6 @@ GROUP_CHARS, GROUP_ROWS = 10_000_000, 50_000
 #: shares no band with probability (1 - 0.8^6)^64 = 4e-9.
 SHINGLE, SIMILAR, BANDS, BAND_ROWS = 5, 80, 64, 6
 SET_ROWS = 500  # texts shingled at once
-#: The tokenizer's time is quadratic in a run without a break; longer texts are encoded in slices at breaks.
-SLICE_CHARS = 100_000
 
 
 def encoder(path: str):

@@ -142,6 +142,13 @@ def test_pack_documents(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_long_runs_are_counted_whole(spark):
+    df = spark.createDataFrame([(1, "a" * 200_000), (2, "a " * 100_000)], "doc_id long, text string")
+    want = {i: len(packing.encoder(packing.TOKENIZER).encode_ordinary(t)) for i, t in df.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in packing.count_tokens(df, "text").collect()} == want
+    assert not hasattr(packing, "SLICE_CHARS")  # nothing sliced by it
+
+
 def test_near_copies_are_found_and_kept_apart(spark):
     rng = random.Random(5)
     body = [f"w{i}" for i in range(200)]
