@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,32 +110,40 @@ def segment_rows(fields: DataFrame, keys: list[str], text: str) -> DataFrame:
     token-less texts have no segment.
     """
     kinds = {f.name: f.dataType.simpleString() for f in fields.schema}
-    word_type = pa.list_(pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("length", pa.int32()), ("word", pa.string())]))
 
-    def emit(batch, take, rows):
-        cols = list(zip(*rows)) or [()] * 4
-        at = pa.array(take, pa.int64())
+    def emit(batch, take, counts, starts, ends, words):
+        n = np.array(counts, np.int64)  # tokens of each text
+        a, b = np.array(starts, np.int32), np.array(ends, np.int32)
+        at = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)  # a token's number in its text
+        first = np.flatnonzero(at % SEGMENT_TOKENS == 0)
+        stop = np.r_[first[1:], len(a)]
+        owner = np.repeat(np.array(take, np.int64), -(-n // SEGMENT_TOKENS))
+        tokens_ = pa.StructArray.from_arrays(
+            [pa.array((at % SEGMENT_TOKENS).astype(np.int32)), pa.array(a), pa.array(b - a), pa.array(words, pa.string())], ["pos", "start", "length", "word"])
         return pa.RecordBatch.from_arrays(
-            [batch.column(i).take(at) for i in range(len(keys))]
-            + [pa.array(cols[i], pa.int32()) for i in range(3)] + [pa.array(cols[3], word_type)],
+            [batch.column(i).take(pa.array(owner)) for i in range(len(keys))]
+            + [pa.array((at[first] // SEGMENT_TOKENS).astype(np.int32)), pa.array(a[first]), pa.array(b[stop - 1] - a[first]),
+               pa.ListArray.from_arrays(pa.array(np.r_[first, len(a)].astype(np.int32)), tokens_)],
             [*keys, "segment_no", "seg_start", "seg_length", "words"])
 
     def run(batches):
         for batch in batches:
-            take, rows = [], []
+            take, counts, starts, ends, words = [], [], [], [], []
             for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-                if t is None:
+                found = _TOKEN.findall(t) if t else None
+                if not found:
                     continue
-                spans = [(m.start(), m.end()) for m in _TOKEN.finditer(t)]
-                for k in range(0, len(spans), SEGMENT_TOKENS):
-                    part = spans[k:k + SEGMENT_TOKENS]
-                    take.append(i)
-                    rows.append((k // SEGMENT_TOKENS, part[0][0], part[-1][1] - part[0][0], [
-                        {"pos": p, "start": a, "length": b - a, "word": t[a:b]} for p, (a, b) in enumerate(part)]))
-                    if len(rows) >= 4096:
-                        yield emit(batch, take, rows)
-                        take, rows = [], []
-            yield emit(batch, take, rows)
+                take.append(i)
+                counts.append(len(found))
+                words += found
+                for m in _TOKEN.finditer(t):
+                    starts.append(m.start())
+                    ends.append(m.end())
+                if len(words) >= 200_000:
+                    yield emit(batch, take, counts, starts, ends, words)
+                    take, counts, starts, ends, words = [], [], [], [], []
+            if words:
+                yield emit(batch, take, counts, starts, ends, words)
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [
         "segment_no int, seg_start int, seg_length int, words array<struct<pos:int,start:int,length:int,word:string>>"])

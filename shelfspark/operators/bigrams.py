@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text as T
@@ -31,3 +31,14 @@ def top_successors(pairs: DataFrame, k: int = SUCCESSORS) -> DataFrame:
     ranked = successor_counts(pairs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.groupBy("token").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "next_token"))), lambda x: x.next_token).alias("next_tokens"))
+
+
+def save_successors(successors: DataFrame, path: str) -> None:
+    """The table of :func:`top_successors`, sorted by token, so that a look-up reads one row group."""
+    successors.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+
+
+def next_words(spark: SparkSession, path: str, tokens: list[str]) -> dict[str, list[str]]:
+    """The saved successors of a few tokens; a token without an entry is left out."""
+    rows = spark.read.parquet(path).where(F.col("token").isin(tokens)).collect()  # at most a row a token
+    return {r["token"]: r["next_tokens"] for r in rows}

@@ -89,15 +89,13 @@ def in_section(code) -> Column:
     return F.lit(False) if n is None else F.coalesce(F.array_contains("lib_sections", n), F.lit(False))
 
 
-def facet_filter(
-    records: DataFrame, title="", author="", udc="", year="", year_max="", year_min="", pages_count="", pages_count_max="",
-    pages_count_min="", lib_section="",
-) -> tuple[bool, DataFrame]:
-    """Whether anything was asked for, and the records that pass all of it. Empty and 0 mean: not asked for.
+def facet_conditions(
+    spark, title="", author="", udc="", year="", year_max="", year_min="", pages_count="", pages_count_max="", pages_count_min="", lib_section="",
+) -> list[Column]:
+    """One condition for each facet that was asked for. Empty and 0 mean: not asked for.
 
     A title without tokens passes nothing, as does a value that is no number.
     """
-    spark = records.sparkSession
     asked: list[Column] = []
     if title:
         words = query_tokens(spark, title)
@@ -112,20 +110,32 @@ def facet_filter(
             asked.append(bound(column, value, **kind))
     if lib_section:
         asked.append(in_section(lib_section))
+    return asked
+
+
+def facet_filter(records: DataFrame, **facets) -> tuple[bool, DataFrame]:
+    """Whether anything was asked for, and the records that pass all of it (see :func:`facet_conditions`)."""
+    asked = facet_conditions(records.sparkSession, **facets)
     out = records
     for a in asked:
         out = out.where(a)
     return bool(asked), out
 
 
-def mentions(records: DataFrame, query: str) -> DataFrame:
-    """``(object_id, score)`` of records whose title or surname holds at least 60 % of the query's first ten words."""
-    words = sorted(set(query_tokens(records.sparkSession, query, 10)))
+def mention_score(tokens: list[str]) -> Column:
+    """Of a query's first ten words: how many stand in the title, and one more for the surname; null below 60 % of the words."""
+    words = sorted(set(tokens[:10]))
     if not words:
-        return records.select("object_id", F.lit(0).alias("score")).limit(0)
+        return F.lit(None).cast("int")
     wanted = F.lit(words)
     score = F.size(F.array_intersect(F.array_distinct("title_tokens"), wanted)) + F.array_contains(wanted, F.col("surname")).cast("int")
-    return records.select("object_id", score.alias("score")).where(F.col("score") >= -(-len(words) * 6 // 10))
+    return F.when(score >= -(-len(words) * 6 // 10), score)
+
+
+def mentions(records: DataFrame, query: str) -> DataFrame:
+    """``(object_id, score)`` of records whose title or surname holds at least 60 % of the query's first ten words."""
+    score = mention_score(query_tokens(records.sparkSession, query, 10))
+    return records.select("object_id", score.alias("score")).where(F.col("score").isNotNull())
 
 
 def section_codes(levels: list[Column]) -> Column:

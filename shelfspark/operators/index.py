@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,39 +14,66 @@ from shelfspark.session import cut_lineage
 # Which frequencies are indexed, and the layout of a packed occurrence.
 LEAST_FREQ, MOST_FREQ = 5, 30_000_000
 WEIGHT_BITS, POS_BITS, OBJECT_BITS = 2, 6, 20
-BUCKETS = 100
+#: Rows of a bucket of a saved index, and of one of its files; more tokens of a query than that are joined, not listed.
+BUCKET_ROWS, FILE_ROWS, LISTED_TOKENS = 20_000_000, 5_000_000, 1000
 
 
 @dataclass(frozen=True)
 class Index:
     """``lexicon(token, freq)``, ``postings(token, segment_id, object_id, pos, weight)``, ``segments(segment_id, object_id, field_id,
-    segment_no, seg_start, seg_length)``: lazy, whether built from texts or read from a folder."""
+    segment_no, seg_start, seg_length)``: lazy, whether built from texts or read from a folder.
+
+    ``buckets`` is the number of token buckets of a saved index, whose lexicon and postings have a ``bucket`` column.
+    """
 
     lexicon: DataFrame
     postings: DataFrame
     segments: DataFrame
-
-    def save(self, path: str) -> None:
-        """Postings by bucket and sorted by token, so that a look-up reads one folder and few row groups."""
-        bucket = F.pmod(F.xxhash64("token"), F.lit(BUCKETS))
-        (self.postings.withColumn("bucket", bucket).repartition(F.col("bucket"), F.pmod("segment_id", F.lit(8)))
-         .sortWithinPartitions("bucket", "token", "segment_id", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-        self.lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
+    buckets: int | None = None
+
+    def save(self, path: str, bucket_rows: int = BUCKET_ROWS, file_rows: int = FILE_ROWS) -> None:
+        """Postings by bucket of tokens, sorted by token and place, so that a look-up reads few folders and few row groups.
+
+        The number of buckets follows the number of postings. Files are cut by ranges of (bucket, token, segment), so a
+        token that holds most rows fills many files, and every file is about ``file_rows`` long.
+        """
+        rows = self.lexicon.agg(F.sum("freq")).first()[0] or 0
+        buckets = max(1, math.ceil(rows / bucket_rows))
+        lexicon = self.lexicon.select("token", "freq", token_bucket(F.col("token"), buckets).alias("bucket"))
+        order = ["bucket", "token", "segment_id", "pos", "object_id", "weight"]
+        postings = self.postings.select("token", "segment_id", "object_id", "pos", "weight").withColumn("bucket", token_bucket(F.col("token"), buckets))
+        files = max(1, math.ceil(rows / file_rows))
+        (postings.repartitionByRange(files, *order).sortWithinPartitions(*order)
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+        lexicon.repartitionByRange(max(1, files // 10), "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/lexicon")
         self.segments.write.mode("overwrite").parquet(f"{path}/segments")
+        self.lexicon.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(*[spark.read.parquet(f"{path}/{x}") for x in ("lexicon", "postings", "segments")])
+        return Index(*[spark.read.parquet(f"{path}/{x}") for x in ("lexicon", "postings", "segments")], spark.read.parquet(f"{path}/layout").first()[0])
+
+    def only(self, tokens: list[str]) -> Index:
+        """The part of the index that a few tokens need: their names, and on a saved index their buckets, as literals that
+        prune folders and row groups. Many tokens restrict nothing here; they are joined."""
+        tokens = sorted(set(tokens))
+        if len(tokens) > LISTED_TOKENS:
+            return self
+        wanted = F.col("token").isin(tokens)
+        postings = self.postings.where(wanted)
+        if self.buckets is not None:
+            spark = self.postings.sparkSession
+            numbers = spark.range(1).select(F.array(*[token_bucket(F.lit(t), self.buckets) for t in tokens])).first()[0] if tokens else []
+            postings = self.postings.where(F.col("bucket").isin(sorted(set(numbers))) & wanted)
+        return replace(self, lexicon=self.lexicon.where(wanted), postings=postings)
 
     def postings_of(self, tokens: list[str]) -> DataFrame:
-        """Postings of a few tokens; on a saved index only their buckets are read."""
-        out = self.postings.where(F.col("token").isin(tokens))
-        if "bucket" in self.postings.columns:
-            spark = self.postings.sparkSession
-            buckets = [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "token string").select(
-                F.pmod(F.xxhash64("token"), F.lit(BUCKETS))).distinct().collect()]
-            out = out.where(F.col("bucket").isin(buckets))
-        return out
+        """Postings of a few tokens."""
+        return self.only(tokens).postings
+
+
+def token_bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
 def pack(segment: Column, obj: Column, pos: Column, weight: Column) -> Column:

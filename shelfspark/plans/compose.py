@@ -51,38 +51,64 @@ class Request:
                 "pages_count": self.pages_count, "pages_count_max": self.max_pcount, "pages_count_min": self.min_pcount, "lib_section": self.lib_section}
 
 
+SEGMENTS = "array<struct<segment_id:bigint,matched_words:int,relevance:double,words:array<struct<token:string,pos:int>>>>"
+
+
 def combined_search(
     spark: SparkSession, index: Index, records: DataFrame, request: Request, config: S.SearchConfig = S.DEFAULT, tokens: list[str] | None = None,
 ) -> DataFrame:
-    """``(position, tier, object_id, score, matches_count, segments)``: mentions of author and title (tier 0), then texts (tier 1).
+    """``(position, tier, object_id, score, matches_count, total, segments)``: mentions of author and title (tier 0), then texts (tier 1).
 
     Facets restrict both; within one object there are no mentions. Paging runs over both lists; an object may stand in both.
+    ``total`` counts both lists (``compat``: of the mentions only those on this page).
+    """
+    return combined_parts(spark, index, records, request, config, tokens)[0]
+
+
+def combined_parts(
+    spark: SparkSession, index: Index, records: DataFrame, request: Request, config: S.SearchConfig = S.DEFAULT, tokens: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The joined list of :func:`combined_search`, and one row with the ``total``, which is there for an empty page too.
+
+    One pass over the records counts what the facets allow and the mentions among it; all else stays lazy.
     """
-    restricted, allowed = C.facet_filter(records, **request.facets())
-    allowed = allowed.select("object_id")
+    asked = C.facet_conditions(spark, **request.facets())
     one = C.whole_number(request.obj_id) if request.obj_id else None
-    if one is not None:
-        allowed = (allowed if restricted else spark.createDataFrame([(one,)], "object_id long")).where(F.col("object_id") == one)
-        restricted = True
     words = tokens if tokens is not None else C.query_tokens(spark, request.q) if request.q else []
-    empty = spark.createDataFrame([], "position int, tier int, object_id long, score double, matches_count long, segments array<string>")
-    if not words or (restricted and allowed.isEmpty()):
-        return empty
-    single = restricted and len(allowed.limit(2).collect()) == 1
-    named = C.mentions(records, request.q)
-    if restricted:
-        named = named.join(allowed, "object_id", "left_semi")
-    n_named = 0 if single else named.count()
+    nothing = spark.createDataFrame([], f"position int, tier int, object_id long, score double, matches_count long, total long, segments {SEGMENTS}")
+    no_total = spark.range(1).select(F.lit(0).cast("long").alias("total"))
+    if not words:
+        return nothing, no_total
+    passes = F.lit(True)
+    for a in asked:
+        passes = passes & F.coalesce(a, F.lit(False))
+    if one is not None and asked:
+        passes = passes & (F.col("object_id") == one)
+    score = C.mention_score(C.query_tokens(spark, request.q, 10))
+    n_allowed, n_named = records.agg(F.count_if(passes), F.count_if(passes & score.isNotNull())).first()
+    allowed = None
+    if asked:
+        if not n_allowed:
+            return nothing, no_total
+        allowed = records.where(passes).select("object_id")
+    elif one is not None:
+        allowed, n_allowed = spark.createDataFrame([(one,)], "object_id long"), 1
+    if allowed is not None and n_allowed == 1:
+        n_named = 0
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.desc("object_id"))
     take = max(0, min(request.len, n_named - request.start))
+    named = records.where(passes).select("object_id", score.alias("score")).where(F.col("score").isNotNull())
     top = named.orderBy(F.desc("score"), F.desc("object_id")).offset(min(request.start, n_named)).limit(take)
     named = top.withColumn("rank", F.row_number().over(order)).select(
         (F.col("rank") + request.start - 1).cast("int").alias("position"), F.lit(0).alias("tier"), "object_id",
-        F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matches_count"))
+        F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matches_count"), F.lit(None).cast(SEGMENTS).alias("segments"))
     first = max(0, request.start - n_named)
-    found = S.search(spark, index, {0: words}, allowed if restricted else None, first, request.len - take, config)
+    segments, scores = S.rank_queries(spark, index, {0: words}, allowed, config)
+    total = scores.agg((F.count(F.lit(1)) + (take if config.compat else n_named)).alias("total"))
+    found = S.results(segments, scores, first, request.len - take, config)
     texts = found.select((F.col("rank") - 1 + n_named).cast("int").alias("position"), F.lit(1).alias("tier"), "object_id", "score", "matches_count", "segments")
-    return named.withColumn("segments", F.lit(None).cast(texts.schema["segments"].dataType)).unionByName(texts)
+    joined = named.unionByName(texts).crossJoin(F.broadcast(total))  # one row
+    return joined.select("position", "tier", "object_id", "score", "matches_count", "total", "segments"), total
 
 
 def snippet_texts(segment_ids: DataFrame, segments: DataFrame, fields_: DataFrame) -> DataFrame:
@@ -126,15 +152,30 @@ def digest(found: DataFrame, index: Index, fields_: DataFrame, records: DataFram
         F.desc("cases"), F.desc(F.round("relevance", 12)), F.desc("marked"), F.desc("object_id"))
 
 
-def json_results(found: DataFrame, index: Index, fields_: DataFrame, records: DataFrame, request: Request) -> DataFrame:
-    """``(query_id, document)``: count and results as one JSON document for each query."""
-    snippets = page_snippets(found, index, fields_, request.snps).groupBy("query_id", "object_id").agg(F.transform(
+def service(
+    spark: SparkSession, index: Index, fields_: DataFrame, records: DataFrame, params: Mapping[str, str], config: S.SearchConfig = S.DEFAULT,
+) -> DataFrame:
+    """``(document)``: the answer to a request's parameters as one JSON document, of the joined list of mentions and texts.
+
+    The query is tokenised here as the index was. An empty query, or facets that nothing passes, give a count of 0 and no
+    results. A mention has no segments.
+    """
+    request = Request.from_mapping(params)
+    joined, total = combined_parts(spark, index, records, request, config)
+    return _document(joined, total, index, fields_, records, request.snps)
+
+
+def _document(joined: DataFrame, total: DataFrame, index: Index, fields_: DataFrame, records: DataFrame, per_object: int) -> DataFrame:
+    listed = joined.select(F.lit(0).alias("query_id"), F.col("position").alias("rank"), "object_id", "segments")
+    snippets = page_snippets(listed, index, fields_, per_object).groupBy("rank").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("place", F.struct("field_id", F.round("relevance", 6).alias("weight"), F.col("marked").alias("snippet")).alias("s")))),
         lambda x: x.s).alias("top_segments"))
     book = records.select("object_id", F.struct(
         "title", "author", "udc", "year", F.lpad(F.col("object_id").cast("string"), 6, "0").alias("id"),
         F.col("pages_count").alias("pages count"), "lib_sections").alias("book"))
-    rows = found.join(snippets, ["query_id", "object_id"], "left").join(book, "object_id", "left")
-    item = F.struct((F.col("rank") - 1).alias("result_index"), "book", "top_segments", F.round("score", 6).alias("cumul_relev"), F.col("matches_count").alias("segments_matched"))
-    return rows.groupBy("query_id").agg(F.to_json(F.struct(
-        F.max("total").alias("count"), F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("r")))), lambda x: x.r).alias("results"))).alias("document"))
+    rows = joined.drop("segments").join(snippets.withColumnRenamed("rank", "position"), "position", "left").join(book, "object_id", "left")
+    empty = F.lit([]).cast("array<struct<field_id:string,weight:double,snippet:string>>")
+    item = F.struct(F.col("position").alias("result_index"), "book", F.coalesce("top_segments", empty).alias("top_segments"),
+                    F.round("score", 6).alias("cumul_relev"), F.col("matches_count").alias("segments_matched"))
+    results = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", item.alias("r")))), lambda x: x.r).alias("results"))  # a page
+    return total.crossJoin(F.broadcast(results)).select(F.to_json(F.struct(F.col("total").alias("count"), "results")).alias("document"))  # one row each

@@ -105,13 +105,14 @@ lex AS (SELECT token, count(*) AS freq FROM once GROUP BY token HAVING count(*)
 # ---------------------------------------------------------------------------------------------------- ranked search
 
 
-def _keys(words: dict[int, list[str]], trim: float = 0.5, budget: int = 50_000_000, compat: bool = False) -> str:
+def _keys(words: dict[int, list[str]] | str, trim: float = 0.5, budget: int = 50_000_000, compat: bool = False) -> str:
     rows = []
-    for q, ts in words.items():
+    for q, ts in words.items() if isinstance(words, dict) else ():
         rows += [f"({q}, {ts.index(t)}, '{t}')" for t in dict.fromkeys(ts[:10])]
+    terms = words if isinstance(words, str) else f"VALUES {', '.join(rows)}"
     counted = f"s - freq <= {budget}" if compat else f"s <= {budget}"
     return f"""{_ONCE},
-terms(query_id, key_idx, token) AS (VALUES {', '.join(rows)}),
+terms(query_id, key_idx, token) AS ({terms}),
 known AS (SELECT query_id, key_idx, token, freq, 1 / ln(freq + 2.0) AS idf FROM terms JOIN lex USING (token)),
 k0 AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS slot, sum(freq) OVER (w ROWS UNBOUNDED PRECEDING) AS s, count(*) OVER (PARTITION BY query_id) AS n_known,
   sum(idf) OVER (PARTITION BY query_id) AS known_idf FROM known WINDOW w AS (PARTITION BY query_id ORDER BY freq, key_idx)),
@@ -119,7 +120,7 @@ k1 AS (SELECT *, {trim} * sum(CASE WHEN {counted} THEN idf END) OVER (PARTITION
 keys AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_keys FROM k1 WHERE s <= {budget})"""
 
 
-def _search(words: dict, trim: float = 0.5, objects: str = "", compat: bool = False) -> str:
+def _search(words: dict | str, trim: float = 0.5, objects: str = "", compat: bool = False) -> str:
     last = """ QUALIFY n_keys = 1 OR row_number() OVER (PARTITION BY query_id, token ORDER BY segment_id DESC, object_id DESC, pos DESC, weight DESC) > 1""" if compat else ""
     escape = " OR segment_id = max(segment_id) OVER (PARTITION BY query_id)" if compat else ""
     where = f"WHERE object_id IN ({objects})" if objects else ""
@@ -140,8 +141,8 @@ obj AS (SELECT query_id, object_id, max(raw) + sum(raw) / count(*) * ln(1.0 + co
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, object_id DESC) AS INTEGER) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM obj)"""
 
 
-def _refined(words: dict, count: int = 10) -> str:
-    return f"""{_search(words)},
+def _refined(words: dict, count: int = 10, objects: str = "") -> str:
+    return f"""{_search(words, objects=objects)},
 page AS (SELECT * FROM ranked WHERE rank <= {count}),
 inside AS (SELECT o.*, b.len FROM occ o JOIN best b USING (query_id, segment_id) JOIN page p ON p.query_id = o.query_id AND p.object_id = o.object_id WHERE pos BETWEEN from_pos AND to_pos),
 steps AS (SELECT *, lead(key_idx) OVER (PARTITION BY query_id, segment_id ORDER BY pos, weight, key_idx) - key_idx AS step FROM inside),
@@ -153,6 +154,8 @@ rel AS (SELECT *, (got + 1e-7) / (known_idf + 1e-7) * CASE WHEN n_known > 1 THEN
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, object_id ORDER BY matched_words DESC, round(relevance, 12) DESC, segment_id DESC) AS INTEGER) AS place FROM rel)"""
 
 
+_BATCH = """SELECT query_id, min(k), token FROM (SELECT segment_id AS query_id, token, CAST(row_number() OVER (PARTITION BY segment_id ORDER BY pos) - 1 AS INTEGER) AS k
+  FROM (SELECT DISTINCT segment_id, pos, token FROM postings WHERE segment_id % 50 = 0 AND pos < 5)) GROUP BY query_id, token"""
 _PAGE = "SELECT query_id, rank, object_id, round(raw, 6) AS score, matches_count, total FROM ranked WHERE rank > {} AND rank <= {}"
 _KEY_COLUMNS = "SELECT query_id, key_idx, slot, token, n_keys, n_known, round(min_weight, 6) AS min_weight, round(known_idf, 6) AS known_idf FROM keys"
 
@@ -231,7 +234,9 @@ SELECT token, list(next_token ORDER BY rank) AS next_tokens FROM k WHERE rank <=
     "search_filtered": f"WITH {_NEWEST}, {_search(_ONE, objects='SELECT object_id FROM c WHERE year >= 2000')} {_PAGE.format(0, 10)}",
     "search_page2": f"WITH {_search(_ONE)} {_PAGE.format(10, 20)}",
     "search_compat": f"WITH {_search(WORDS, compat=True)} {_PAGE.format(0, 10)}",
-    "search_batch": f"WITH {_search(WORDS)} {_PAGE.format(0, 10)}",
+    "search_words": f"WITH {_search(WORDS)} {_PAGE.format(0, 10)}",
+    "search_saved": f"WITH {_search(WORDS)} {_PAGE.format(0, 10)}",
+    "search_batch": f"WITH {_search(_BATCH)} {_PAGE.format(0, 10)}",
     "span_occurrences": f"WITH {_refined(WORDS)} SELECT query_id, segment_id, pos, key_idx, token, weight FROM inside",
     "segment_relevance": f"WITH {_refined(WORDS)} SELECT query_id, object_id, segment_id, matched_words, round(relevance, 6) AS relevance FROM rel",
     "top_segments": f"WITH {_refined(WORDS)} SELECT query_id, object_id, segment_id, place, matched_words, round(relevance, 6) AS relevance FROM top WHERE place <= 3",
@@ -260,7 +265,7 @@ allowed AS (SELECT object_id FROM c WHERE "year" >= 1960),
 {_search({0: ['teoriya', 'splav']}, objects='SELECT object_id FROM allowed')},
 both_ AS (SELECT 0 AS tier, object_id, 0.0 AS score, 0 AS matches_count, row_number() OVER (ORDER BY score DESC, object_id DESC) AS k FROM m WHERE object_id IN (SELECT object_id FROM allowed)
   UNION ALL SELECT 1, object_id, round(raw, 6), matches_count, rank + (SELECT count(*) FROM m WHERE object_id IN (SELECT object_id FROM allowed)) FROM ranked)
-SELECT g AS "start", CAST(k - 1 AS INTEGER) AS position, tier, object_id, score, matches_count FROM both_ CROSS JOIN (VALUES (0), (8)) v(g) WHERE k > g AND k <= g + 8""",
+SELECT g AS "start", CAST(k - 1 AS INTEGER) AS position, tier, object_id, score, matches_count, (SELECT count(*) FROM both_) AS total FROM both_ CROSS JOIN (VALUES (0), (8)) v(g) WHERE k > g AND k <= g + 8""",
     "snippets": f"WITH {_FIELDS}, {_refined(_TWO)}{_SNIPPETS} SELECT query_id, object_id, place - 1 AS place, field_id, segment_id, snippet FROM snip WHERE place <= 2",
     "highlight": f"WITH {_FIELDS}, {_refined(_TWO)}{_SNIPPETS} SELECT query_id, object_id, place - 1 AS place, marked FROM snip JOIN mk USING (query_id, segment_id) WHERE place <= 2",
     "digest": f"""WITH {_FIELDS}, {_NEWEST}, {_refined({0: ['the', 'of']}, 100)}{_SNIPPETS}
@@ -268,4 +273,15 @@ SELECT query_id, CAST(len(list_filter(ps, lambda p: regexp_matches(ws[p + 1], '^
   '[' || trim(coalesce(author, '')) || ' ' || coalesce(title, '') || ']' AS book
 FROM snip JOIN mk USING (query_id, segment_id) JOIN c ON c.object_id = snip.object_id
 WHERE place <= 100 AND len(ps) >= 2 AND list_max(ps) - list_min(ps) + 1 <= 3""",
+    "service_json": f"""WITH {_WORDS}, {_MENTIONS.format(chr(39) + 'splav' + chr(39) + ', ' + chr(39) + 'na' + chr(39), 2)}, {_FIELDS},
+allowed AS (SELECT object_id FROM c WHERE "year" >= 1960),
+{_refined({0: ['splav', 'na']}, 100, objects='SELECT object_id FROM allowed')}{_SNIPPETS},
+named AS (SELECT object_id, row_number() OVER (ORDER BY score DESC, object_id DESC) AS k FROM m WHERE object_id IN (SELECT object_id FROM allowed)),
+joined AS (SELECT object_id, 0.0 AS score, 0 AS matches_count, k, 0 AS tier FROM named
+  UNION ALL SELECT object_id, raw, matches_count, rank + (SELECT count(*) FROM named), 1 FROM ranked),
+shown AS (SELECT snip.object_id, list(marked ORDER BY place) AS snippets FROM snip JOIN mk USING (query_id, segment_id) WHERE place <= 2 GROUP BY 1)
+SELECT (SELECT count(*) FROM joined) AS total, CAST(k - 1 AS INTEGER) AS result_index, lpad(CAST(j.object_id AS VARCHAR), 6, '0') AS id, title, round(j.score, 6) AS cumul_relev,
+  matches_count AS segments_matched, CASE WHEN tier = 0 THEN CAST([] AS VARCHAR[]) ELSE snippets END AS snippets
+FROM joined j JOIN c USING (object_id) LEFT JOIN shown USING (object_id) WHERE k > 2 AND k <= 10""",
 }
+ORACLES["bigram_sink"] = ORACLES["bigram_top20"]

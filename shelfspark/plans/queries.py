@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from shelfspark.operators import index as I
 from shelfspark.plans import compose as P
 from shelfspark.plans import search as S
 from shelfspark.plans.oracles import ORACLES, WORDS  # noqa: F401
-from shelfspark.session import load
+from shelfspark.session import checkpoint_root, load
 from shelfspark.sources import crawled, delivered_lines
 
 
@@ -172,8 +174,8 @@ def key_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def _matches(spark: SparkSession, d: str, trim: float = 0.5) -> DataFrame:
     config = S.SearchConfig(trim=trim)
-    index = _index(spark, d)
-    return S.segment_matches(S.occurrences(S.choose_keys(S.known_terms(_terms(spark), index), config), index), config)
+    index = _index(spark, d).only([t for ts in WORDS.values() for t in ts])
+    return S.segment_matches(S.occurrences(S.choose_keys(S.known_terms(_terms(spark), index), config), index, n_queries=len(WORDS)), config)
 
 
 def segment_simple_weight(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +199,7 @@ def object_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page(spark: SparkSession, d: str, queries: dict, first: int = 0, count: int = 10, objects: DataFrame | None = None, config=S.DEFAULT) -> DataFrame:
-    _, scores = S.rank(S.query_frame(spark, queries), _index(spark, d), objects, config)
+    _, scores = S.rank_queries(spark, _index(spark, d), queries, objects, config)
     return S.ranked_page(scores, first, count).select("query_id", "rank", "object_id", F.round("score", 6).alias("score"), "matches_count", "total")
 
 
@@ -223,12 +225,28 @@ def search_compat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_batch(spark: SparkSession, d: str) -> DataFrame:
-    """All queries in one plan."""
+    """The first five words of every fiftieth segment as a query each, against all postings, in one plan."""
+    index = _index(spark, d)
+    words = load(spark, d, "postings").where("segment_id % 50 = 0 AND pos < 5").select(F.col("segment_id").alias("query_id"), F.col("pos").alias("place"), "token").distinct()
+    _, scores = S.rank(S.query_terms(words), index)
+    return S.ranked_page(scores, 0, 10).select("query_id", "rank", "object_id", F.round("score", 6).alias("score"), "matches_count", "total")
+
+
+def search_words(spark: SparkSession, d: str) -> DataFrame:
+    """Several given queries in one plan."""
     return _page(spark, d, WORDS)
 
 
+def search_saved(spark: SparkSession, d: str) -> DataFrame:
+    """The same on an index that is saved first, several buckets wide, of which only the words' own buckets are read."""
+    path = f"{checkpoint_root(spark)}/saved-index-{uuid.uuid4().hex}"
+    _index(spark, d).save(path, bucket_rows=10_000, file_rows=50_000)
+    _, scores = S.rank_queries(spark, I.Index.load(spark, path), WORDS)
+    return S.ranked_page(scores, 0, 10).select("query_id", "rank", "object_id", F.round("score", 6).alias("score"), "matches_count", "total")
+
+
 def _refined(spark: SparkSession, d: str) -> DataFrame:
-    segments_, scores = S.rank(_terms(spark), _index(spark, d))
+    segments_, scores = S.rank_queries(spark, _index(spark, d), WORDS)
     return S.refined(segments_, S.ranked_page(scores, 0, 10))
 
 
@@ -333,7 +351,7 @@ def combined_search(spark: SparkSession, d: str) -> DataFrame:
     for start in (0, 8):
         request = P.Request(q="теория сплав", min_year="1960", start=start, len=8)
         page = P.combined_search(spark, _index(spark, d), _records(spark, d), request, tokens=["teoriya", "splav"]).select(
-            F.lit(start).alias("start"), "position", "tier", "object_id", F.round("score", 6).alias("score"), "matches_count")
+            F.lit(start).alias("start"), "position", "tier", "object_id", F.round("score", 6).alias("score"), "matches_count", "total")
         out = page if out is None else out.unionByName(page)
     return out
 
@@ -357,9 +375,20 @@ def digest(spark: SparkSession, d: str) -> DataFrame:
     return P.digest(found, index, _fields(spark, d), _records(spark, d), 2).select("query_id", "cases", F.round("relevance", 6).alias("relevance"), "marked", "object_id", "segment_id", "book")
 
 
-def search_json(spark: SparkSession, d: str) -> DataFrame:
-    found, index, fields = _found(spark, d)
-    return P.json_results(found, index, fields, _records(spark, d), P.Request(snps=2))
+def service_json(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON document of a request, taken apart again. The page runs over the end of the mentions."""
+    document = P.service(spark, _index(spark, d), _fields(spark, d), _records(spark, d), {"q": "Сплав, на", "min_year": "1960", "start": "2", "len": "8", "snps": "2"})
+    schema = ("count long, results array<struct<result_index:int,book:struct<title:string,author:string,id:string>,"
+              "top_segments:array<struct<field_id:string,weight:double,snippet:string>>,cumul_relev:double,segments_matched:long>>")
+    return document.select(F.from_json("document", schema).alias("x")).select(F.col("x.count").alias("total"), F.explode("x.results").alias("r")).select(
+        "total", "r.result_index", "r.book.id", "r.book.title", "r.cumul_relev", "r.segments_matched", F.transform("r.top_segments", lambda s: s.snippet).alias("snippets"))
+
+
+def bigram_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Successors written to a folder and read again."""
+    path = f"{checkpoint_root(spark)}/bigrams-{uuid.uuid4().hex}"
+    bigrams.save_successors(bigram_top20(spark, d), path)
+    return spark.read.parquet(path)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -367,7 +396,7 @@ QUERIES = {f.__name__: f for f in (
     tokenize, token_case, normalize_tokens, segments, segment_span, occurrence_pack, occurrence_unpack, lexicon, lexicon_pruned, postings,
     object_segment_range, segments_of_object, segment_owner_asof, lexicon_top800, lexicon_freq_bands, index_stats, bigram_counts, bigram_top20,
     query_terms, key_selection, key_budget, segment_simple_weight, crude_filter, segment_shortest_span, segment_score, object_score,
-    search_top_objects, search_single_term, search_filtered, search_page2, search_compat, search_batch, span_occurrences, segment_relevance,
+    search_top_objects, search_single_term, search_filtered, search_page2, search_compat, search_words, search_saved, search_batch, span_occurrences, segment_relevance,
     top_segments, search_full, catalogue_load, title_and, year_range, year_unknown, udc_prefix, author_surname, author_equal, pages_range,
     lib_section_codes, lib_section_filter, section_collisions, facet_and, plain_catalogue, mention_rank, combined_search, snippets, highlight,
-    digest, search_json)}
+    digest, service_json, bigram_sink)}

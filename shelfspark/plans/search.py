@@ -39,6 +39,11 @@ def idf(freq: Column) -> Column:
     return 1 / F.log(freq + 2.0)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """Copied to all executors where its rows are known to be few; else Catalyst chooses by size."""
+    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+
+
 def query_frame(spark: SparkSession, queries: dict[int, list[str]], config: SearchConfig = DEFAULT) -> DataFrame:
     """``(query_id, key_idx, token)`` of the first words of each query; a repeated word keeps its first place."""
     rows = []
@@ -48,7 +53,14 @@ def query_frame(spark: SparkSession, queries: dict[int, list[str]], config: Sear
             first.setdefault(t, i)
         rows += [(q, i, t) for t, i in first.items()]
     frame = spark.createDataFrame(rows, "query_id int, key_idx int, token string")
-    return F.broadcast(frame) if len(rows) <= BROADCAST_TERMS else frame
+    return few(frame, len(rows))
+
+
+def query_terms(words: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame:
+    """The same of a table of ``(query_id, place, token)``, for any number of queries; null tokens are no words."""
+    w = Window.partitionBy("query_id").orderBy("place")
+    first = words.where(F.col("token").isNotNull()).withColumn("key_idx", F.row_number().over(w) - 1).where(F.col("key_idx") < config.max_words)
+    return first.groupBy("query_id", "token").agg(F.min("key_idx").alias("key_idx")).select("query_id", "key_idx", "token")
 
 
 def known_terms(terms: DataFrame, index: Index) -> DataFrame:
@@ -70,20 +82,25 @@ def choose_keys(known: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame:
     return rows.withColumn("n_keys", F.count(F.lit(1)).over(w)).drop("_sum")
 
 
-def occurrences(keys: DataFrame, index: Index, objects: DataFrame | None = None, config: SearchConfig = DEFAULT) -> DataFrame:
-    """Occurrences of the chosen keys, of the given objects (``object_id``, and ``query_id`` if it differs by query) only."""
-    chosen = F.broadcast(keys)  # at most max_keys a query, and queries are counted where they come in
+def occurrences(
+    keys: DataFrame, index: Index, objects: DataFrame | None = None, config: SearchConfig = DEFAULT, n_queries: int = 1,
+) -> DataFrame:
+    """Occurrences of the chosen keys, of the given objects (``object_id``, and ``query_id`` if it differs by query) only.
+
+    ``n_queries`` is the number of queries, if it is known, else 2^31: up to a bound their keys are copied to all executors.
+    """
+    chosen = few(keys, n_queries * config.max_keys)
     occ = index.postings.select("token", "segment_id", "object_id", "pos", "weight").join(chosen, "token")
     if config.compat:
         last = occ.groupBy("query_id", "token").agg(F.max(F.struct("segment_id", "object_id", "pos", "weight")).alias("_last"))
         here = F.struct("segment_id", "object_id", "pos", "weight")
-        occ = occ.join(F.broadcast(last), ["query_id", "token"]).where((F.col("n_keys") == 1) | (here != F.col("_last"))).drop("_last")
+        occ = occ.join(few(last, n_queries * config.max_keys), ["query_id", "token"]).where((F.col("n_keys") == 1) | (here != F.col("_last"))).drop("_last")
     if objects is not None:
         occ = occ.join(objects, [c for c in ("query_id", "object_id") if c in objects.columns], "left_semi")
     return occ
 
 
-def segment_matches(occ: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame:
+def segment_matches(occ: DataFrame, config: SearchConfig = DEFAULT, n_queries: int = 1) -> DataFrame:
     """One row for each query and segment: ``occ`` (sorted array), ``uniq``, ``weight`` and the keys' constants, after the threshold."""
     rows = occ.groupBy("query_id", "segment_id", "object_id").agg(
         F.array_sort(F.collect_set(F.struct("pos", "weight", "key_idx", "slot", "idf", "token"))).alias("occ"),
@@ -96,7 +113,7 @@ def segment_matches(occ: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame
     passes = (F.col("n_keys") == 1) | (F.round(F.col("weight"), 12) >= F.round(F.col("min_weight"), 12))
     if config.compat:
         last = rows.groupBy("query_id").agg(F.max("segment_id").alias("_last_segment"))
-        rows = rows.join(F.broadcast(last), "query_id")  # one row a query
+        rows = rows.join(few(last, n_queries), "query_id")  # one row a query
         passes = passes | (F.col("segment_id") == F.col("_last_segment"))
         return rows.where(passes).drop("_last_segment")
     return rows.where(passes)
@@ -134,13 +151,23 @@ def ranked_page(scores: DataFrame, first: int, count: int) -> DataFrame:
     return page.join(totals, "query_id")
 
 
-def rank(terms: DataFrame, index: Index, objects: DataFrame | None = None, config: SearchConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def rank(
+    terms: DataFrame, index: Index, objects: DataFrame | None = None, config: SearchConfig = DEFAULT, n_queries: int = 1 << 31,
+) -> tuple[DataFrame, DataFrame]:
     """Scored segments, and objects with their scores."""
     keys = choose_keys(known_terms(terms, index), config)
-    segments = scored_segments(segment_matches(occurrences(keys, index, objects, config), config))
+    segments = scored_segments(segment_matches(occurrences(keys, index, objects, config, n_queries), config, n_queries))
     return segments, object_scores(segments)
 
 
+def rank_queries(
+    spark: SparkSession, index: Index, queries: dict[int, list[str]], objects: DataFrame | None = None, config: SearchConfig = DEFAULT,
+) -> tuple[DataFrame, DataFrame]:
+    """``rank`` of given queries: only the lexicon entries and postings of their words are read."""
+    part = index.only([t for ts in queries.values() for t in ts[:config.max_words]])
+    return rank(query_frame(spark, queries, config), part, objects, config, len(queries))
+
+
 def refined(segments: DataFrame, page: DataFrame) -> DataFrame:
     """For the page's objects: occurrences within the best span, ``matched_words`` and ``relevance`` of each segment."""
     rows = segments.join(page.select("query_id", "object_id"), ["query_id", "object_id"], "left_semi")
@@ -167,11 +194,17 @@ def search(
 ) -> DataFrame:
     """``(query_id, rank, object_id, score, matches_count, total, segments)``; segments are listed worst first, as the best come last.
 
-    An empty frame of objects means: no restriction. Unknown words are passed over; a query of unknown words finds nothing.
+    A query is a list of tokens as the index has them (:func:`shelfspark.operators.catalogue.query_tokens` makes them of a
+    text). Only the words of the queries are read of the index. An empty frame of objects means: no restriction. Unknown words are passed over; a query of unknown words finds nothing.
     """
     if objects is not None and objects.isEmpty():
         objects = None
-    segments, scores = rank(query_frame(spark, queries, config), index, objects, config)
+    segments, scores = rank_queries(spark, index, queries, objects, config)
+    return results(segments, scores, first, count, config)
+
+
+def results(segments: DataFrame, scores: DataFrame, first: int, count: int, config: SearchConfig = DEFAULT) -> DataFrame:
+    """The page of ranked objects with their best segments."""
     page = ranked_page(scores, first, count)
     best = top_segments(refined(segments, page), config.segments_per_object)
     listed = best.groupBy("query_id", "object_id").agg(F.transform(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,18 +31,34 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def checkpoint_folder(master: str, named: str | None) -> str:
+    """The folder that the session names; a temporary one, removed at exit, only where all runs in one local JVM.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local runs) is one of
-    our own used. Checkpoint files are on shared storage, so a lost executor costs a re-read, not a re-run.
+    On a cluster a machine-local folder would lose data with the machine, so there an unset folder is an error.
     """
-    spark = df.sparkSession
+    if named:
+        return named
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="shelfspark-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate results."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfspark-checkpoint-")
-        )
+        context.setCheckpointDir(checkpoint_folder(context.master, spark.conf.get("spark.checkpoint.dir", None)))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Checkpoint files are on shared storage, so a lost executor costs a re-read, not a re-run.
+    """
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

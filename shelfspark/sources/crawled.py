@@ -29,12 +29,26 @@ def parse_files(files: DataFrame, default: Column | None = None) -> DataFrame:
     return files.withColumn("text", text)
 
 
-def folder_fields(spark: SparkSession, root: str) -> DataFrame:
-    """``(object_id, field_id, text)`` of ``root/<object_id>/<field_id>``; folders whose name is no number are passed over."""
+def folder_fields(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
+    """``(object_id, field_id, text, failure)`` of ``root/<object_id>/<field_id>``.
+
+    Folders whose name is no number are passed over. A file is read by the parser of its suffix; one without a parser has
+    no text and ``failure`` says so, or, if ``strict``, is an error as in the original. Paths are unique, so nothing is
+    de-duplicated.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    path = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    rows = files.select(path.try_cast("long").alias("object_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("field_id"), decode_cp1251(F.col("content")).alias("text"))
-    return rows.where(F.col("object_id").isNotNull()).dropDuplicates(["object_id", "field_id"])
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    named = files.withColumns({"object_id": folder.try_cast("long"), "field_id": F.regexp_extract("path", r"([^/]+)$", 1)}).where(F.col("object_id").isNotNull())
+    known = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(PARSERS))
+    message = F.concat(F.lit("no parser for "), F.col("field_id"))
+    failure = F.when(~known, F.raise_error(message) if strict else message)
+    return parse_files(named.withColumn("failure", failure.cast("string"))).select("object_id", "field_id", "text", "failure")
+
+
+def list_folder(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, length)`` of the files right in a folder, by name; nothing below it is listed and no content is read."""
+    files = spark.read.format("binaryFile").load(root)
+    return files.select("path", "length").orderBy("path")
 
 
 def plain_catalogue(lines: DataFrame, line: str = "value") -> DataFrame:
