@@ -45,6 +45,26 @@ def test_one_key_holds_most_rows(spark):
     assert balance.balanced_key_stats(df.limit(0), "key", "grp", ["x"]).count() == 0
 
 
+def test_a_hot_key_in_one_group_and_a_hot_copy(spark):
+    rows = [("hot", 7, i) for i in range(4000)] + [("copy", 1, 1)] * 4000 + [(f"k{i % 40}", i, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, grp long, x long").repartition(3)
+    placement = balance.plan_placement(df, "key", n_tasks=4)
+    placed, task, _ = balance.place(balance.combined(df.select("key", "grp", "x")), "key", placement, ["grp", "x"])
+    sizes = [r[0] for r in placed.groupBy(task).agg(F.count(F.lit(1))).select("count(1)").collect()]
+    assert len(sizes) == 4 and sum(sizes) <= 4000 + 400 + 3 and max(sizes) < 1.6 * sum(sizes) / 4
+    got = {r["key"]: tuple(r)[1:] for r in balance.balanced_key_stats(df, "key", "grp", ["x"], 4).collect()}
+    assert got["hot"] == (4000, 4000, 1) and got["copy"] == (4000, 1, 1) and got["k3"] == (10, 10, 10) and len(got) == 42
+
+
+def test_arrays_are_cut_once(spark):
+    df = spark.createDataFrame([("t", list(range(1000)) + [None], 1), ("u", [3, 1, 2], 2), ("v", [], 3), (None, [5], 4)], "token string, codes array<long>, extra int")
+    placement = balance.plan_placement(df, "token", weight=F.size("codes"), n_tasks=3)
+    rows = balance.cut_arrays(df, "token", "codes", placement).collect()
+    hot = [r for r in rows if r["token"] == "t"]
+    assert sorted(c for r in hot for c in r["codes"]) == list(range(1000)) and len({r["_shard"] for r in hot}) == len(hot) == len(placement.shards["t"])
+    assert {r["token"]: (r["codes"], r["extra"]) for r in rows if r["token"] != "t"} == {"u": ([3, 1, 2], 2), None: ([5], 4)}
+
+
 def test_replicated_join_and_merge_equal_plain_ones(spark):
     left = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 1), (None, 2), ("c", 3)], "k string, x int")
     right = spark.createDataFrame([("a", 1), ("a", 2), ("c", 5), ("d", 6), (None, 7)], "k string, x int")
