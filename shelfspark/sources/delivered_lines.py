@@ -19,41 +19,26 @@ SCHEMA = (
     "object_id long, year int, udc string, section_1 string, section_2 string, section_3 string, "
     "pages_count int, author string, title string, corrupt string"
 )
-YEAR, UDC, PAGES = r"[0-9]{4}", r"[0-9]{1,3}(\.[0-9]{1,3})*+", r"[1-9][0-9]{0,4}"
-FIRST_YEAR, LAST_YEAR = 1400, 2030
+UDC = r"[0-9]{1,3}(\.[0-9]{1,3})*+"
+FIRST_YEAR, LAST_YEAR, MOST_PAGES = 1400, 2030, 99_999
 
 _BL = r"[ \t\r\u00a0\ufeff]*+"
-_FIELD = rf'{_BL}"[^"]*+(?:""[^"]*+)*+"{_BL}|(?!{_BL}")[^;]*+'
-#: The regex engine recurses once for each doubled quote; lines with more go through the same grammar in Python.
-QUOTES_IN_REGEX = 500
-
-
-def _split_slow(line: str | None) -> list[str] | None:
-    """The columns of a line as written, or None if its quoting is broken."""
-    out, at, text = [], 0, (line or "") + ";"
-    while at < len(text):
-        first = at
-        while text[first] in BLANKS:
-            first += 1
-        if text[first] == '"':
-            end = first + 1
-            while True:
-                end = text.find('"', end)
-                if end < 0:
-                    return None
-                if text[end + 1] != '"':
-                    break
-                end += 2
-            end += 1
-            while text[end] in BLANKS:
-                end += 1
-            if text[end] != ";":
-                return None
-        else:
-            end = text.index(";", first)
-        out.append(text[at:end])
-        at = end + 1
-    return out
+#: Doubled quotes are one sign while columns are looked for, so the pattern needs no group that repeats: the regex engine
+#: would recurse once for each. A second sign keeps texts apart that hold the first.
+_DOUBLED, _ESCAPE = "\ufdd0", "\ufdd1"
+_FIELD = rf'{_BL}(?:{_DOUBLED}*+"[^"]*+"|{_DOUBLED}++){_BL}|(?!{_BL}["{_DOUBLED}])[^;]*+'
+
+
+def _mask(line: Column) -> Column:
+    for a, b in ((_ESCAPE, _ESCAPE + "e"), (_DOUBLED, _ESCAPE + "d"), ('""', _DOUBLED)):
+        line = F.replace(line, F.lit(a), F.lit(b))
+    return line
+
+
+def _unmask(cell: Column) -> Column:
+    for b, a in ((_DOUBLED, '""'), (_ESCAPE + "d", _DOUBLED), (_ESCAPE + "e", _ESCAPE)):
+        cell = F.replace(cell, F.lit(b), F.lit(a))
+    return cell
 
 
 def _value(c: Column) -> Column:
@@ -73,69 +58,50 @@ def parse_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     keep = [c for c in lines.columns if c.lower() not in {*COLUMNS, "reasons"}]
     raw = fresh(lines, "_raw")
     base = lines.select(*keep, F.coalesce(F.col(line), F.lit("")).alias(raw))
-    quotes = F.length(raw) - F.length(F.replace(F.col(raw), F.lit('"'), F.lit("")))
-    usual = base.where(quotes <= QUOTES_IN_REGEX)
     read = F.from_csv(F.col(raw), SCHEMA, {
         "sep": ";", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt",
         "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "maxCharsPerColumn": "-1",
         "enforceSchema": "true", "nullValue": "", "emptyValue": ""})
-    plain = r"[^\"\u00a0\ufeff\n]*+"  # nothing on which the reader and the format could differ
-    whole = F.concat(F.col(raw), F.lit(";"))
-    exact = F.regexp_extract_all(whole, F.lit(rf"\G({_FIELD});"), F.lit(1))
-    usual = usual.withColumn("_read", read).withColumn(
-        "_sure", F.col("_read").isNotNull() & F.col("_read.corrupt").isNull() & F.col(raw).rlike(rf"\A{plain}\z")
-        & (F.size(F.split(raw, ";")) == len(COLUMNS)))
-    usual = usual.withColumn("_cells", F.when(~F.col("_sure"), exact)).withColumn(
-        "_closed", F.col("_sure") | (F.length(F.concat_ws(";", "_cells")) == F.length(raw)))
-    monsters = _monsters(base.where(quotes > QUOTES_IN_REGEX), raw)
-    out = [_judged(usual, keep, True), _judged(monsters, keep, False)]
-    return out[0].unionByName(out[1])
-
-
-def _monsters(df: DataFrame, raw: str) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            cells = [_split_slow(x) for x in pdf[raw]]
-            pdf["_cells"] = [c or [] for c in cells]
-            pdf["_closed"] = [c is not None for c in cells]
-            yield pdf
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{fields}, _cells array<string>, _closed boolean")
-
-
-def _judged(df: DataFrame, keep: list[str], has_read: bool) -> DataFrame:
+    # Nothing on which the reader and the format could differ: such a line is what its parts at ";" say.
+    plain = F.col(raw).rlike(r"\A[^\"\u00a0\ufeff\n]*+\z")
+    usual = base.withColumn("_read", F.when(plain, read)).withColumn("_parts", F.when(plain, F.split(raw, ";")))
+    sound = F.col("_read").isNotNull() & F.col("_read.corrupt").isNull() & (F.size("_parts") == len(COLUMNS))
+    # All others are reclassified by the format's own grammar: quoting, then columns, then values.
+    masked = F.concat(_mask(F.col(raw)), F.lit(";"))
+    cells = F.when(F.col("_parts").isNotNull(), F.col("_parts")).otherwise(
+        F.transform(F.regexp_extract_all(masked, F.lit(rf"\G({_FIELD});"), F.lit(1)), _unmask))
+    usual = usual.withColumn("_sure", sound).withColumn("_cells", F.when(~F.col("_sure"), cells)).withColumn(
+        "_closed", F.col("_sure") | F.col("_parts").isNotNull() | (F.length(F.array_join("_cells", ";")) == F.length(raw)))
+
+    trimmed = lambda i: F.btrim(F.get("_parts", F.lit(i)), F.lit(BLANKS))
     cell = [_value(F.get(F.col("_cells"), F.lit(i))) for i in range(len(COLUMNS))]
-    sure = F.col("_sure") if has_read else F.lit(False)
-    val = {
-        c: (F.when(sure, F.coalesce(F.col(f"_read.{c}").cast("string"), F.lit(""))).otherwise(cell[i]) if has_read else cell[i])
-        for i, c in enumerate(COLUMNS)
-    }
-    # The reader casts: "+5" or "0012" would pass as numbers. The exact rules look at the text of the three columns.
-    if has_read:
-        texts = F.split(F.col(df.columns[len(keep)]), ";")
-        for i, c in ((1, "year"), (6, "pages_count"), (0, "object_id")):
-            val[c] = F.when(sure, F.btrim(F.get(texts, F.lit(i)), F.lit(BLANKS))).otherwise(cell[i])
-    n = F.when(sure, F.lit(len(COLUMNS))).otherwise(F.size("_cells"))
+    val = {c: F.when(F.col("_sure"), trimmed(i) if c in ("year", "pages_count", "object_id") else F.coalesce(F.col(f"_read.{c}"), F.lit(""))).otherwise(cell[i])
+           for i, c in enumerate(COLUMNS)}
+    # Each value is worked out once: expressions that name a value several times would repeat all of it.
+    usual = usual.withColumns({f"_v{i}": val[c] for i, c in enumerate(COLUMNS)})
+    val = {c: F.col(f"_v{i}") for i, c in enumerate(COLUMNS)}
+    n = F.when(F.col("_sure"), F.lit(len(COLUMNS))).otherwise(F.size("_cells"))
+
+    def number(c: str, least: int, most: int) -> Column:
+        """The text is that number as it is written by rule: no sign, no leading zero, ASCII digits."""
+        x = val[c].try_cast("int")
+        return F.coalesce((x.cast("string") == val[c]) & x.between(least, most), F.lit(False))
 
     def bad(c: str, rule: Column) -> Column:
         return F.when((val[c] != "") & ~rule, F.lit(f"bad_{c}"))
 
-    year = val["year"].rlike(rf"\A{YEAR}\z") & F.coalesce(
-        val["year"].try_cast("int").between(FIRST_YEAR, LAST_YEAR), F.lit(False))
-    reasons = (
-        F.when(~F.col("_closed"), F.array(F.lit("quoting")))
-        .when(n != len(COLUMNS), F.array(F.lit("column_count")))
-        .otherwise(F.array_compact(F.array(
-            bad("year", year),
-            bad("udc", val["udc"].rlike(rf"\A{UDC}\z")),
-            bad("pages_count", val["pages_count"].rlike(rf"\A{PAGES}\z")))))
-    )
+    # Words joined and split stay in generated code; an array that is filtered would be interpreted, row by row.
+    named = F.concat_ws(" ", bad("year", number("year", FIRST_YEAR, LAST_YEAR)), bad("udc", val["udc"].rlike(rf"\A{UDC}\z")),
+                        bad("pages_count", number("pages_count", 1, MOST_PAGES)))
+    reason = F.when(~F.col("_closed"), F.lit("quoting")).when(n != len(COLUMNS), F.lit("column_count")).otherwise(named)
+    reasons = F.when(reason == "", F.array().cast("array<string>")).otherwise(F.split(reason, " "))
     types = {"object_id": "bigint", "year": "int", "pages_count": "int"}
     loaded = [
         (F.nullif(v, F.lit("")).try_cast(types[c]) if c in types else v).alias(c) for c, v in val.items()
     ]
-    return df.select(*keep, *loaded, reasons.alias("reasons"))
+    # As the output of a generator: a filter on plain columns would be pushed below all projections, with every expression
+    # written out again wherever it is named.
+    return usual.select(*keep, *loaded, F.explode_outer(F.array(reasons)).alias("reasons"))
 
 
 def rejected_lines(lines: DataFrame, id_column: str = "line_id", line: str = "raw_line") -> DataFrame:

@@ -101,16 +101,46 @@ def test_lines(spark):
     assert delivered_lines.rejected_lines(df.limit(0)).count() == 0
 
 
-def test_slow_splitter_is_the_same_grammar(spark):
+def split_line(line):
+    """The columns of a line as written, or None if its quoting is broken: the grammar letter by letter."""
+    out, at, text, blanks = [], 0, line + ";", " \t\r\u00a0\ufeff"
+    while at < len(text):
+        first = at
+        while text[first] in blanks:
+            first += 1
+        if text[first] == '"':
+            end = first + 1
+            while True:
+                end = text.find('"', end)
+                if end < 0:
+                    return None
+                if text[end + 1] != '"':
+                    break
+                end += 2
+            end += 1
+            while text[end] in blanks:
+                end += 1
+            if text[end] != ";":
+                return None
+        else:
+            end = text.index(";", first)
+        out.append(text[at:end])
+        at = end + 1
+    return out
+
+
+def test_lines_follow_the_grammar(spark):
     rng = random.Random(1)
-    lines = ["".join(rng.choice('";a ') for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    lines = ["".join(rng.choice('"";a \ufdd0\ufdd1\u00a0e') for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    lines += [";" * 8 + f'"{x}"' for x in ("", '""', 'a""', '""a', '\ufdd0', '\ufdd1e""\ufdd1d')]
     df = spark.createDataFrame(list(enumerate(lines)), "line_id int, raw_line string")
-    got = {r["line_id"]: r["reasons"] for r in delivered_lines.parse_lines(df).collect()}
+    got = {r["line_id"]: r for r in delivered_lines.parse_lines(df).collect()}
     for i, line in enumerate(lines):
-        cells = delivered_lines._split_slow(line)
-        assert (got[i] == ["quoting"]) == (cells is None), line
+        cells = split_line(line)
+        assert (got[i]["reasons"] == ["quoting"]) == (cells is None), line
         if cells is not None:
-            assert (got[i] == ["column_count"]) == (len(cells) != 9), line
+            assert (got[i]["reasons"] == ["column_count"]) == (len(cells) != 9), line
+    assert [got[i]["title"] for i in range(1500, 1506)] == ["", '"', 'a"', '"a', "\ufdd0", '\ufdd1e"\ufdd1d']
 
 
 # ------------------------------------------------------------------------------------------------------ text and index
