@@ -2,17 +2,19 @@
 
 1. Each distinct spelling is read into a record in one Latin spelling: a person's surname, given name and patronymic (or
    their initials), an organisation's kind (as an acronym) and proper name. Case, order, roles, look-alike letters of
-   another script, quotes and spacing no longer count.
-2. Distinct *cores* (surnames, proper names) become vectors of character n-grams weighted by inverse frequency: n-grams of
-   three letters, and gapped n-grams as long as the core with one letter left out, which any two words one typing error
-   apart share (plain n-grams alone miss these: an error makes rare grams, and rare grams weigh most). A sparse
-   similarity join finds all pairs with a cosine of ``COSINE`` or more: grams are ordered heaviest first and only the prefix
-   that can decide is joined (the rest of a vector has a norm below the threshold), so common grams never meet.
-3. A pair of records is linked if the cores differ by one typing error at most and initials, given names and patronymics
-   agree as far as both are given. Links are gathered into components (pointer jumping over distinct records).
-4. Within a component, average-linkage clustering with similarity 0 between records that contradict each other keeps
-   apart different people who are joined only through an ambiguous spelling. Cores further apart than one typing error
-   contradict nothing (two errors of one name are two apart): their similarity is low, and the average decides.
+   another script, quotes, spacing and the system of romanisation no longer count.
+2. Distinct *cores* (surnames, proper names) become unit vectors of weighted character n-grams: pairs of letters at most one
+   letter apart, ends included, weighted by inverse frequency (``1 - GAPPED`` of the squared norm), and gapped n-grams, the
+   core with one letter left out (``GAPPED`` of it). A sparse top-n cosine join follows: candidates share a gram; since
+   ``COSINE > 1 - GAPPED``, two vectors without a common gapped gram cannot reach the threshold, so only these are joined
+   and no candidate is lost (prefix filter). Few words can share a gapped gram (an alphabet times the places of a letter,
+   whatever the data), so there is no hot gram and candidates grow as the words do. The cosine decides; pairs are ranked for
+   each core, and those beyond the ``TOP`` best are kept too (the exact rest).
+3. Components of linked cores, further split by the first letters of given name and patronymic, are what one task gets. In
+   such a block average linkage, weighted by the root of the rows, groups first the cores, then within a group of cores the forms of given
+   name and patronymic; contradicting ones (a man's and a woman's surname, different full names) are never put together.
+4. Records without a patronymic join the group of their component and initial that agrees best, bare surnames the one entity
+   that has their core, if there is just one.
 """
 
 from __future__ import annotations
@@ -20,20 +22,23 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.pii import GENDER
 from shelfspark.session import cut_lineage
 
-COSINE = 0.05
-SHORT_GRAM = 0.1  # weight of a three-letter gram against a gapped one
+GAPPED, COSINE, TOP = 0.9, 0.11, 16
+LEAST_LETTERS = 5  # an error in a shorter core makes another name
 LINKAGE = 0.45
-FAR, FAR_LEAST = 0.4, 0.01  # similarity of cores more than one typing error apart: FAR times their bigram overlap
+LINKED, FAR, FAR_LEAST = 0.8, 0.4, 0.01  # similarity of cores that the join links; of others FAR times their letter pairs' cosine
+BUCKETS = 4096  # hashed letter pairs, whose frequencies are shared with all tasks
 
 # Romanisation, look-alikes, short forms of given names, roles.
 ROMAN = {
@@ -52,11 +57,11 @@ SHORT = {
     "Маша": "Мария", "Миша": "Михаил", "Надя": "Надежда", "Наташа": "Наталья", "Ната": "Наталья", "Коля": "Николай", "Оля": "Ольга", "Паша": "Павел",
     "Петя": "Пётр", "Поля": "Полина", "Рая": "Раиса", "Рома": "Роман", "Света": "Светлана", "Серёжа": "Сергей", "Соня": "София", "Стёпа": "Степан",
     "Тарасик": "Тарас", "Тома": "Тамара", "Таня": "Татьяна", "Тима": "Тимофей", "Тимоша": "Тимофей", "Федя": "Фёдор", "Эдик": "Эдуард", "Эля": "Элеонора",
-    "Юля": "Юлия", "Юра": "Юрий", "Яша": "Яков", "Вера": "Вера", "Верочка": "Вера", "Олежка": "Олег",
+    "Юля": "Юлия", "Юра": "Юрий", "Яша": "Яков", "Вера": "Вера", "Верочка": "Вера", "Олежка": "Олег", "Олежек": "Олег",
 }
 ROLE = re.compile(
     r"(?i)\b(?:и\s+др\.?|et\s+al\.?|сост\.?|ред\.?|под\s+ред\.?|отв\.?\s*ред\.?|пер\.|акад\.?|академик|проф\.?|профессор|доц\.?|доцент|инж\.|д-р|dr\.?|prof\.?|ed\.?|eds\.?|"
-    r"(?:канд|докт|д-р|к|д)\.?\s*[а-я-]+\.?\s*(?:наук|н\.)|канд\.|докт\.|[кд]\.\s?[тфэмпх]\.\s?[-]?[мн]?\.?\s?н\.|чл\.-кор\.)(?=\W|$)")
+    r"(?:(?:канд|докт|к|д)\.|канд|докт|д-р)\s*[а-я-]{1,7}\.\s*(?:наук|н\.)|канд\.|докт\.|[кд]\.\s?[тфэмпх]\.\s?[-]?[мн]?\.?\s?н\.|чл\.-кор\.)(?=\W|$)")
 _QUOTED = re.compile(r"[«\"“„]+([^«»\"“”„]+)[»\"”“]*")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*\.?")
 _ORG_WORD = re.compile(r"(?i)институт|ин-т|объединени|об-ние|комбинат|комб-т|центр\b|бюро|завод|з-д|университет|ун-т|академия|издательств|изд-во|фабрика|ф-ка|общество|о-во|трест|музей|библиотек")
@@ -67,8 +72,31 @@ def roman(text: str) -> str:
     return "".join(ROMAN.get(c, c) for c in text.lower())
 
 
-SHORT_ROMAN = {roman(k): roman(v) for k, v in SHORT.items()}
-GIVEN_ROMAN = {roman(n) for n, (script, _) in GENDER.items() if script == "ru"} | set(SHORT_ROMAN)
+SHORT_LATIN = {
+    "Bill": "William", "Will": "William", "Bob": "Robert", "Rob": "Robert", "Dick": "Richard", "Jim": "James", "Jack": "John", "Tom": "Thomas", "Ted": "Edward", "Ed": "Edward",
+    "Mike": "Michael", "Joe": "Joseph", "Tony": "Anthony", "Dan": "Daniel", "Dave": "David", "Sam": "Samuel", "Steve": "Stephen", "Kate": "Catherine", "Liz": "Elizabeth",
+    "Beth": "Elizabeth", "Peggy": "Margaret", "Maggie": "Margaret", "Sue": "Susan", "Hans": "Johannes", "Fritz": "Friedrich", "Kurt": "Konrad", "Pepe": "José", "Paco": "Francisco",
+}
+_ENDING = re.compile(r"(?:iy|yy|ij|y|j)$")
+_SYSTEMS = [(re.compile(a), b) for a, b in ((r"^ye", "e"), (r"^yo", "e"), (r"x", "ks"), (r"w", "v"), (r"[’'`]", ""), (r"ia$", "iya"), (r"iu", "yu"))]
+
+
+@lru_cache(maxsize=200_000)
+def latin(word: str) -> str:
+    """Small Latin letters without accents, one spelling for all systems of romanisation."""
+    w = "".join(c for c in unicodedata.normalize("NFD", roman(word)) if not unicodedata.combining(c))
+    if not any("\u0400" <= c <= "\u052f" for c in word):
+        for pattern, new in _SYSTEMS:
+            w = pattern.sub(new, w)
+    return _ENDING.sub("i", w) if len(w) > 2 else w
+
+
+SHORT_ROMAN = {latin(k): latin(v) for k, v in (SHORT | SHORT_LATIN).items()}
+GIVEN_ROMAN = {latin(n) for n in GENDER} | set(SHORT_ROMAN)
+# One Latin letter for two initials: names known to begin with the rarer one are told apart.
+_E_NAMES = {latin(n) for n in [*GENDER, *SHORT] if n.startswith("Э")}
+#: What stands for "no author" in a catalogue; no name.
+NOBODY = re.compile(r"(?i)^(?:б\.?\s?а\.?|без автора|no author|anon\.?|n\.?\s?n\.?)$")
 
 
 def _clean(text: str) -> str:
@@ -95,14 +123,16 @@ def _acronym(words: list[str]) -> str:
 
 
 def read_name(text: str) -> tuple[str, str, str, str, str] | None:
-    """``(kind, core, given, patronymic, type)`` in Latin letters; None where there is no name (no letters, "б. а.")."""
+    """``(kind, core, given, patronymic, type)`` in Latin letters; None only where there are no letters, or words for "no author"."""
     t = ROLE.sub(" ", _clean(text))
     t = re.sub(r"\(\s*\)", " ", t).strip(" ,;()[]")
-    if sum(c.isalpha() for c in t) < 4:
+    if not any(c.isalpha() for c in t) or NOBODY.match(t):
         return None
     quoted = _QUOTED.search(t)
     words = _TOKEN.findall(t)
-    if quoted or _ORG_WORD.search(t) or _is_type(words):
+    if not words:
+        return "o", _core(t), "", "", ""
+    if quoted or _ORG_WORD.search(t) or _is_type(words) or len(words) == 1 and _type_token(words[0]):
         if quoted:
             core, rest = quoted[1], t[:quoted.start()] + " " + t[quoted.end():]
             kind_words = _TOKEN.findall(rest)
@@ -113,48 +143,45 @@ def read_name(text: str) -> tuple[str, str, str, str, str] | None:
             kind = _fold(roman(kind_words[0]))
         else:
             kind = _acronym(kind_words)
-        return "o", _fold(re.sub(r"[^\w]", "", roman(core))), "", "", kind
+        return "o", _core(core), "", "", kind
     comma = t.find(",")
     first_is_surname = 0 < comma and len(_TOKEN.findall(t[:comma])) == 1
-    parts = [(w.rstrip("."), w.endswith(".")) for w in words]
-    full, given, patronymic, surname = [], "", "", ""
-    latin = [(roman(w), dot) for w, dot in parts]
-    rest = list(range(len(latin)))
+    parts = [(latin(w.rstrip(".")), w.endswith(".")) for w in words]
+    rest = list(range(len(parts)))
     if first_is_surname:
-        surname, rest = latin[0][0], rest[1:]
+        best = 0
     else:
         # the surname: the longest full word that is no given name or patronymic; at an end of the name
-        options = [i for i in (rest[0], rest[-1]) if not latin[i][1] and len(latin[i][0]) > 3]
-        best = max(options, key=lambda i: (_surnameness(latin, parts, i), len(latin[i][0])), default=None)
-        if best is None:
-            return None
-        surname = latin[best][0]
-        rest = [i for i in rest if i != best]
-    for i in rest:
-        w = latin[i][0]
-        if not given:
-            given = w
-        elif not patronymic:
-            patronymic = w
-        full.append(w)
-    return "p", _fold(re.sub(r"[^\w]", "", surname)), _given(given), patronymic, ""
-
-
-def _surnameness(latin, parts, i) -> int:
-    w = latin[i][0]
-    if w in GIVEN_ROMAN or "-" in w and len(w) < 8 or (_PATRONYMIC.search(w) and i == len(latin) - 1 and len(latin) > 2 and latin[0][0] not in GIVEN_ROMAN):
+        options = [i for i in (rest[0], rest[-1]) if not parts[i][1] and len(words[i]) > 1] or rest
+        best = max(options, key=lambda i: (_surnameness(parts, i), len(parts[i][0])))
+    given, patronymic = [*[_part(words[i], parts[i][0]) for i in rest if i != best], "", ""][:2]
+    return "p", _core(words[best]), given, patronymic, ""
+
+
+def _part(word: str, w: str) -> str:
+    """A given name or patronymic in full or short; a first letter Э is marked, in Latin letters only where the name is known."""
+    w = SHORT_ROMAN.get(w, w)
+    if word.rstrip(".") in ("E", "e"):
+        return "è"
+    return "ě" + w[1:] if word[0] in "Ээ" or w in _E_NAMES else w
+
+
+def _core(text: str) -> str:
+    return _fold(re.sub(r"[^\w]", "", latin(text)))
+
+
+def _surnameness(parts, i) -> int:
+    w = parts[i][0]
+    if w in GIVEN_ROMAN or "-" in w and len(w) < 8 or (_PATRONYMIC.search(w) and i == len(parts) - 1 and len(parts) > 2 and parts[0][0] not in GIVEN_ROMAN):
         return 0
-    others = [j for j in range(len(latin)) if j != i]
-    if any(latin[j][0] in GIVEN_ROMAN for j in others):
+    if any(parts[j][0] in GIVEN_ROMAN for j in range(len(parts)) if j != i):
         return 3
-    near_given = min((_edits(w, g) for g in GIVEN_ROMAN if abs(len(g) - len(w)) <= 1), default=9) if len(latin) > 1 else 9
-    if near_given <= 1:
-        return 1
-    return 2
+    return 1 if len(parts) > 1 and _near_given(w) else 2
 
 
-def _given(w: str) -> str:
-    return SHORT_ROMAN.get(w, w)
+@lru_cache(maxsize=200_000)
+def _near_given(w: str) -> bool:
+    return any(abs(len(g) - len(w)) <= 1 and _edits(w, g) <= 1 for g in GIVEN_ROMAN)
 
 
 def _type_token(w: str) -> bool:
@@ -195,6 +222,8 @@ def _part_match(a: str, b: str) -> float | None:
     if not a or not b:
         return 0.9
     a, b = _fold(a), _fold(b)
+    if "è" in (a, b):  # a Latin initial of either letter
+        a, b = (b[0] if a == "è" else a), (a[0] if b == "è" else b)
     if a == b:
         return 1.0
     short, long = sorted((a, b), key=len)
@@ -209,63 +238,106 @@ def _part_match(a: str, b: str) -> float | None:
     return 0.9 if _edits(a, b) <= 1 and len(short) > 3 else None
 
 
-def _overlap(a: str, b: str) -> float:
-    """Dice coefficient of the letter bigrams of two words, ends included."""
-    x, y = ({w[i:i + 2] for i in range(len(w) - 1)} for w in (f"^{a}$", f"^{b}$"))
-    return 2 * len(x & y) / (len(x) + len(y))
+def letter_pairs(core: str) -> list[str]:
+    """The distinct pairs of letters that stand side by side or one letter apart, ends included."""
+    w = f"^{core}$"
+    return sorted({w[i] + w[j] for i in range(len(w)) for j in (i + 1, i + 2) if j < len(w)})
 
 
-def _one_error(a: str, b: str) -> bool:
-    """Equal, or one typing error apart; an error in a word of less than five letters makes another word."""
-    return a == b or min(len(a), len(b)) >= 5 and _edits(a, b) <= 1
+def gapped(core: str) -> set[str]:
+    return {core} | {core[:i] + core[i + 1:] for i in range(len(core))}
 
 
-def may_be_one(x: tuple, y: tuple) -> bool:
-    """Whether two records ``(kind, core, given, patronymic, type)`` are linked."""
-    return x[0] == y[0] and _one_error(x[1], y[1]) and similarity(x, y) > 0
+def _bucket(pair: str) -> int:
+    return (ord(pair[0]) * 1_000_003 + ord(pair[1])) % BUCKETS
 
 
-def similarity(x: tuple, y: tuple) -> float:
-    """Of two records ``(kind, core, given, patronymic, type)``; 0 only if they contradict each other."""
-    if x[0] != y[0]:
-        return 0.0
-    if x[1] == y[1]:
-        base = 1.0
-    else:
-        base = 0.8 if _one_error(x[1], y[1]) else max(FAR_LEAST, FAR * _overlap(x[1], y[1]))
-    if x[0] == "o":
-        return base if x[4] == y[4] else 0.0
-    if x[1] != y[1] and x[1][-1:] != y[1][-1:] and {x[1][-1:], y[1][-1:]} & {"a"}:
-        return 0.0  # a man's and a woman's surname
-    g, p = _part_match(x[2], y[2]), _part_match(x[3], y[3])
-    return 0.0 if g is None or p is None else base * g * p
+class Grams:
+    """Unit vectors of cores, given the share of cores that hold each (hashed) letter pair."""
+
+    def __init__(self, frequency: dict[int, int], n: int):
+        self.weight = np.sqrt(np.log1p(max(1, n) / np.array([max(1, frequency.get(b, 0)) for b in range(BUCKETS)])))
+        self.known: dict[str, tuple] = {}
+
+    def vector(self, core: str) -> tuple[set[str], dict[str, float]]:
+        got = self.known.get(core)
+        if got is None:
+            pairs = letter_pairs(core)
+            w = self.weight[[_bucket(p) for p in pairs]]
+            got = gapped(core), dict(zip(pairs, (w / np.sqrt((w * w).sum())).tolist()))
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[core] = got
+        return got
+
+    def parts(self, a: str, b: str) -> tuple[float, float]:
+        """Cosines of the gapped n-grams and of the letter pairs."""
+        (ga, pa_), (gb, pb) = self.vector(a), self.vector(b)
+        return len(ga & gb) / (len(ga) * len(gb)) ** 0.5, sum(w * pb[p] for p, w in pa_.items() if p in pb)
+
+    def cosine(self, a: str, b: str) -> float:
+        long, short = self.parts(a, b)
+        return GAPPED * long + (1 - GAPPED) * short
+
+    def similarity(self, a: str, b: str) -> float:
+        """Of two cores; 0 only for a man's and a woman's surname."""
+        if a == b:
+            return 1.0
+        if a[-1:] != b[-1:] and "a" in (a[-1:], b[-1:]):
+            return 0.0
+        long, short = self.parts(a, b)
+        linked = min(len(a), len(b)) >= LEAST_LETTERS and GAPPED * long + (1 - GAPPED) * short >= COSINE
+        return LINKED if linked else max(FAR_LEAST, FAR * short)
+
+
+def form_similarity(x: tuple[str, str], y: tuple[str, str]) -> float:
+    """Of two (given name, patronymic); 0 only if they contradict each other."""
+    g, p = _part_match(x[0], y[0]), _part_match(x[1], y[1])
+    return 0.0 if g is None or p is None else g * p
 
 
 def average_linkage(sim: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
-    """Cluster numbers. Average similarity of members decides; a pair with similarity 0 is never put together."""
+    """Cluster numbers. The weighted average similarity of members decides; a pair with similarity 0 is never put together.
+
+    Chains of nearest neighbours: a pair that is nearest to each other is merged, which never changes what later merges see
+    (the linkage is reducible), so the work is quadratic and the result that of merging the best pair each time.
+    """
     n = len(sim)
     label = np.arange(n)
-    total = sim * np.outer(weight, weight)
-    count = np.outer(weight, weight).astype(float)
-    barred = sim <= 0
-    alive = list(range(n))
-    while len(alive) > 1:
-        idx = np.array(alive)
-        avg = np.where(barred[np.ix_(idx, idx)], -1.0, total[np.ix_(idx, idx)] / count[np.ix_(idx, idx)])
-        np.fill_diagonal(avg, -1.0)
-        k = int(np.argmax(avg))
-        if avg.flat[k] < least:
-            break
-        i, j = idx[k // len(idx)], idx[k % len(idx)]
-        i, j = min(i, j), max(i, j)
-        total[i] += total[j]
-        total[:, i] += total[:, j]
-        count[i] += count[j]
-        count[:, i] += count[:, j]
-        barred[i] |= barred[j]
-        barred[:, i] |= barred[:, j]
-        label[label == j] = i
-        alive.remove(int(j))
+    if n < 2:
+        return label
+    avg = np.where(sim <= 0, -1.0, sim).astype(np.float64)
+    np.fill_diagonal(avg, -2.0)
+    size = np.asarray(weight, np.float64).copy()
+    alive, chain = np.ones(n, bool), []
+    for start in range(n):
+        if not alive[start]:
+            continue
+        chain.append(start)
+        while chain:
+            i = chain[-1]
+            row = np.where(alive, avg[i], -2.0)
+            row[i] = -2.0
+            j = int(np.argmax(row))
+            if len(chain) > 1 and row[chain[-2]] >= row[j]:
+                j = chain[-2]
+            if row[j] < least:  # nothing joins i any more
+                chain.pop()
+                continue
+            if len(chain) > 1 and j == chain[-2]:
+                chain.pop()
+                chain.pop()
+                a, b = min(i, j), max(i, j)
+                both = np.where((avg[a] < 0) | (avg[b] < 0), -1.0, (avg[a] * size[a] + avg[b] * size[b]) / (size[a] + size[b]))
+                avg[a], avg[:, a] = both, both
+                avg[a, a] = -2.0
+                size[a] += size[b]
+                alive[b] = False
+                label[label == b] = a
+                if not chain:  # what was merged may now be nearest to something else
+                    chain.append(a)
+            else:
+                chain.append(j)
     return label
 
 
@@ -279,8 +351,8 @@ def name_records(names: DataFrame, name: str = "author") -> DataFrame:
     def run(batches):
         for batch in batches:
             read = [read_name(t) for t in batch.column(0).to_pylist()]
-            take = pa.array([i for i, r in enumerate(read) if r and len(r[1]) > 1], pa.int64())
-            cols = list(zip(*[r for r in read if r and len(r[1]) > 1])) or [()] * 5
+            take = pa.array([i for i, r in enumerate(read) if r], pa.int64())
+            cols = list(zip(*[r for r in read if r])) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), *[pa.array(c, pa.string()) for c in cols], batch.column(1).take(take)],
                 ["name", "kind", "core", "given", "patronymic", "type", "n"])
@@ -288,58 +360,54 @@ def name_records(names: DataFrame, name: str = "author") -> DataFrame:
     return distinct.mapInArrow(run, f"name string, {RECORD}, n long")
 
 
-def similar_cores(records: DataFrame, least: float = COSINE) -> DataFrame:
-    """``(kind, core_a, core_b)``, ``core_a < core_b``: all pairs of distinct cores with a gram cosine of ``least`` or more."""
-    cores = records.select("kind", "core").distinct()
+def gram_frequencies(cores: DataFrame) -> tuple[dict[int, int], int]:
+    """In how many of the distinct cores each hashed letter pair stands, at most ``BUCKETS`` numbers, and the number of cores."""
+
+    def run(batches):
+        counts = np.zeros(BUCKETS + 1, np.int64)
+        for batch in batches:
+            for core in batch.column(0).to_pylist():
+                counts[list({_bucket(p) for p in letter_pairs(core)})] += 1
+            counts[BUCKETS] += batch.num_rows
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["b", "k"])
+
+    got = {r["b"]: r["k"] for r in cores.select("core").mapInArrow(run, "b long, k long").groupBy("b").agg(F.sum("k").alias("k")).collect()}
+    return got, got.pop(BUCKETS, 0)
+
+
+def similar_cores(cores: DataFrame, frequency: tuple[dict[int, int], int], least: float = COSINE, top: int = TOP) -> DataFrame:
+    """``(kind, core_a, core_b, cosine, in_top)``, ``core_a < core_b``: all pairs of the distinct ``(kind, core)`` with a cosine of ``least``
+    or more, where ``least > 1 - GAPPED``.
+
+    ``in_top`` tells the pairs among the ``top`` best of one of their cores (the top-n join) from the exact rest, which is kept
+    so that no cap loses a link.
+    """
+    if least <= 1 - GAPPED:
+        raise ValueError("below this threshold pairs without a common gapped n-gram would be lost")
     size = F.length("core")
-    gapped = F.array_append(F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(
-        F.lit("~"), F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, size))), F.concat(F.lit("~"), F.col("core")))
-    padded = F.concat(F.lit("^"), F.col("core"), F.lit("$"))
-    short = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(padded, i, F.lit(3)))
-    grams = cores.select("kind", "core", F.explode(F.array_distinct(F.concat(gapped, short))).alias("gram"))
-    total = cores.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # two rows
-    weights = grams.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total), "kind").select(
-        "kind", "gram", (F.sqrt(F.log1p(F.col("n") / F.col("df"))) * F.when(F.startswith("gram", F.lit("~")), 1.0).otherwise(SHORT_GRAM)).alias("w"))
-    vectors = grams.join(weights, ["kind", "gram"]).groupBy("kind", "core").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), F.col("gram"), F.col("w")))).alias("v")
-    ).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.w * x.w))
-    vectors = vectors.select("kind", "core", F.transform("v", lambda x: F.struct(x.gram.alias("gram"), (x.w / F.sqrt("norm2")).alias("w"))).alias("v"))
-    vectors = cut_lineage(vectors)
-    # The longest suffix whose norm is below the threshold needs no look-up: alone it cannot reach the cosine.
-    kept = F.aggregate(
-        "v", F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("k")),
-        lambda a, x: F.when(F.sqrt(F.greatest(a.rest, F.lit(0.0))) < least, a).otherwise(
-            F.struct((a.rest - x.w * x.w).alias("rest"), (a.k + 1).alias("k"))))
-    prefix = vectors.select("kind", "core", F.explode(F.slice("v", 1, kept.k)).alias("x")).select("kind", "core", "x.gram")
-    a, b = prefix.withColumnRenamed("core", "core_a"), prefix.withColumnRenamed("core", "core_b")
-    near = F.abs(F.length("core_a") - F.length("core_b")) <= 4
-    pairs = a.join(b, ["kind", "gram"]).where((F.col("core_a") < F.col("core_b")) & near).select("kind", "core_a", "core_b").distinct()
-    va = vectors.select("kind", F.col("core").alias("core_a"), F.map_from_entries("v").alias("va"))
-    vb = vectors.select("kind", F.col("core").alias("core_b"), F.col("v").alias("vb"))
-    dot = F.aggregate("vb", F.lit(0.0), lambda s, x: s + x.w * F.coalesce(F.try_element_at("va", x.gram), F.lit(0.0)))
-    return pairs.join(va, ["kind", "core_a"]).join(vb, ["kind", "core_b"]).where(dot >= least).select("kind", "core_a", "core_b")
-
-
-def _linked(records: DataFrame) -> DataFrame:
-    """``(a, b)``: ids of distinct records that may be one."""
-    cores = similar_cores(records)
-    both = cores.unionByName(cores.select("kind", F.col("core_b").alias("core_a"), F.col("core_a").alias("core_b"))).unionByName(
-        records.select("kind", F.col("core").alias("core_a"), F.col("core").alias("core_b")).distinct())
-    # Records of one given name or initial meet, not all of a surname.
-    left = records.select("kind", F.col("core").alias("core_a"), F.substring("given", 1, 1).alias("i"), F.struct("id", "kind", "core", "given", "patronymic", "type").alias("x"))
-    right = records.select("kind", F.col("core").alias("core_b"), F.substring("given", 1, 1).alias("i"), F.struct("id", "kind", "core", "given", "patronymic", "type").alias("y"))
-    pairs = left.join(both, ["kind", "core_a"]).join(right, ["kind", "core_b", "i"]).where(F.col("x.id") < F.col("y.id")).select("x", "y")
+    long = cores.where(size >= LEAST_LETTERS)
+    grams = F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(
+        F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, size))), F.col("core")))
+    met = long.select("kind", "core", F.explode(grams).alias("gram")).groupBy("kind", "gram").agg(
+        F.collect_set("core").alias("cores")).where(F.size("cores") > 1)
+    pairs = met.select("kind", F.explode("cores").alias("core_a"), "cores").select(
+        "kind", "core_a", F.explode(F.filter("cores", lambda x: x > F.col("core_a"))).alias("core_b")).distinct()
 
     def run(batches):
+        vectors = Grams(*frequency)
         for batch in batches:
-            rows = batch.to_pylist()
-            keep = [(r["x"]["id"], r["y"]["id"]) for r in rows if may_be_one(
-                *[tuple(r[k][f] for f in ("kind", "core", "given", "patronymic", "type")) for k in "xy"])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64())], ["a", "b"])
+            cosine = np.array([vectors.cosine(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], np.float64)
+            keep = pa.array(np.flatnonzero(cosine >= least))
+            yield pa.RecordBatch.from_arrays([*[c.take(keep) for c in batch.columns], pa.array(cosine).take(keep)], ["kind", "core_a", "core_b", "cosine"])
 
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n).mapInArrow(run, "a long, b long")  # little data but much work a row: not to be merged into one task
+    near = cut_lineage(pairs.mapInArrow(run, "kind string, core_a string, core_b string, cosine double"))
+    best = None
+    for side, other in (("core_a", "core_b"), ("core_b", "core_a")):
+        w = Window.partitionBy("kind", side).orderBy(F.desc("cosine"), other)
+        ranked = near.select("*", F.row_number().over(w).alias("rank"))
+        best = ranked if best is None else best.unionByName(ranked)
+    return best.groupBy("kind", "core_a", "core_b").agg(F.max("cosine").alias("cosine"), (F.min("rank") <= top).alias("in_top"))
 
 
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -362,29 +430,96 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         roots = new.select("id", "root")
 
 
+def _blocks(frequency: tuple[dict[int, int], int]):
+    """The groups of one block of records that share component, initials and kind."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vectors = Grams(*frequency)
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        rows = pdf.groupby("core", sort=True)["n"].sum()
+        cores = rows.index.tolist()
+        sim = np.ones((len(cores), len(cores)))
+        for i, j in itertools.combinations(range(len(cores)), 2):
+            sim[i, j] = sim[j, i] = vectors.similarity(cores[i], cores[j])
+        group = dict(zip(cores, average_linkage(sim, np.sqrt(rows.to_numpy()), LINKAGE).tolist()))
+        entity = np.empty(len(pdf), np.int64)
+        for _, part in pdf.groupby(pdf["core"].map(group), sort=False):
+            weight = part.groupby(["given", "patronymic"])["n"].sum()
+            forms = weight.index.tolist()
+            close = np.array([[form_similarity(x, y) for y in forms] for x in forms])
+            label = dict(zip(forms, average_linkage(close, np.sqrt(weight.to_numpy()), LINKAGE).tolist()))
+            number = [label[f] for f in zip(part["given"], part["patronymic"])]
+            for _, same in part.groupby(pd.Series(number, index=part.index), sort=False):
+                entity[same.index] = int(same["id"].iloc[0])
+        return pd.DataFrame({"id": pdf["id"], "entity": entity})
+
+    return run
+
+
+def _attached(frequency: tuple[dict[int, int], int]):
+    """Records without a patronymic, each with the entity it joins: of those with its core and initial, or a linked core, the best."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vectors, whole, by_core = Grams(*frequency), defaultdict(list), defaultdict(set)
+        for r in pdf.itertuples(index=False):
+            if r.patronymic:
+                whole[r.entity].append(r)
+                by_core[r.core].add(r.entity)
+        linked: dict[str, set] = {}
+        out = {}
+        for x in pdf[pdf["patronymic"] == ""].itertuples(index=False):
+            near = by_core.get(x.core)
+            if near is None:
+                near = linked.get(x.core)
+                if near is None:
+                    near = linked[x.core] = {e for c, es in by_core.items() if vectors.similarity(c, x.core) >= LINKED for e in es}
+            best = (0.0, 0, 0)
+            for e in near:
+                sims = [vectors.similarity(x.core, y.core) * form_similarity((x.given, x.patronymic), (y.given, y.patronymic)) for y in whole[e]]
+                if min(sims) > 0 and sum(sims) / len(sims) >= LINKAGE:
+                    best = max(best, (round(sum(sims) / len(sims), 9), sum(y.n for y in whole[e]), e))
+            if best[0]:
+                out[x.id] = best[2]
+        return pd.DataFrame({"id": list(out), "joins": list(out.values())}, dtype="int64")
+
+    return run
+
+
 def linked_names(names: DataFrame, name: str = "author") -> DataFrame:
     """``(name, entity, n)``: each distinct spelling with the number of its entity (alone or not) and of its rows.
 
-    Null names, and spellings without a name, are left out; repeated rows add to ``n``.
+    Null names, and spellings without a name (no letters, or words for "no author"), are left out; repeated rows add to ``n``.
+    A bare surname that several entities share is an entity of its own.
     """
     spelled = name_records(names, name)
     fields = ["kind", "core", "given", "patronymic", "type"]
     # The id is a hash of the record, the same wherever it is computed.
     spelled = cut_lineage(spelled.withColumn("id", F.xxhash64(*fields)))
     records = spelled.groupBy("id", *fields).agg(F.sum("n").alias("n"))
-    roots = components(_linked(records))
-    grouped = records.join(roots, "id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        rows = list(pdf[fields].itertuples(index=False, name=None))
-        sim = np.array([[similarity(x, y) for y in rows] for x in rows])
-        label = average_linkage(sim, np.ones(len(rows)), LINKAGE)
-        return pd.DataFrame({"id": pdf["id"], "entity": pdf["id"].to_numpy()[label]})
-
+    cores = records.select("kind", "core").distinct()
+    frequency = gram_frequencies(cores)
+    links = similar_cores(cores, frequency).select(F.xxhash64("kind", "core_a").alias("a"), F.xxhash64("kind", "core_b").alias("b"))
+    roots = components(links)
+    first = lambda c: F.translate(F.substring(c, 1, 1), "ěè", "ee")
+    keyed = records.withColumn("core_id", F.xxhash64("kind", "core")).join(roots.withColumnRenamed("id", "core_id"), "core_id", "left").withColumns({
+        "root": F.coalesce("root", "core_id"), "g": F.when(F.col("kind") == "o", F.col("type")).otherwise(first("given")), "p": first("patronymic")})
     n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    clusters = grouped.repartition(n, "root").groupBy("root").applyInPandas(run, "id long, entity long")
-    return spelled.join(clusters, "id", "left").select("name", F.coalesce("entity", "id").alias("entity"), "n")
+    block = ["kind", "root", "g", "p"]
+    # A block of one record needs no look; all others are little data but much work, not to be merged into one task.
+    sized = keyed.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*block)))
+    several = sized.where("_size > 1").repartition(n, *block).groupBy(*block).applyInPandas(_blocks(frequency), "id long, entity long")
+    grouped = cut_lineage(keyed.join(several, "id", "left").withColumn("entity", F.coalesce("entity", "id")))
+    # Without a patronymic: beside groups with one.
+    people = grouped.where("kind = 'p' AND g != ''")
+    initial = ["root", "g"]
+    mixed = people.groupBy(*initial).agg(F.bool_or(F.col("p") == "").alias("x"), F.bool_or(F.col("p") != "").alias("y")).where("x AND y").select(*initial)
+    joins = people.join(mixed, initial, "left_semi").repartition(n, *initial).groupBy(*initial).applyInPandas(_attached(frequency), "id long, joins long")
+    grouped = grouped.join(joins, "id", "left").withColumn("entity", F.coalesce("joins", "entity")).drop("joins")
+    # A bare surname: the one entity of that core.
+    owners = grouped.where("kind = 'p' AND g != ''").groupBy("core_id").agg(F.min("entity").alias("low"), F.max("entity").alias("high")).where("low = high")
+    bare = F.when((F.col("kind") == "p") & (F.col("g") == ""), F.col("low"))
+    final = grouped.join(owners.drop("high"), "core_id", "left").select("id", F.coalesce(bare, "entity").alias("entity"))
+    return spelled.join(final, "id").select("name", "entity", "n")
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:

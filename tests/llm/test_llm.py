@@ -239,6 +239,63 @@ def test_average_linkage_keeps_contradictions_apart():
     assert label[0] != label[2] and label[1] in (label[0], label[2])
 
 
+def greedy_linkage(sim, weight, least):
+    groups = [[i] for i in range(len(sim))]
+    while True:
+        best = (least, None)
+        for i, a in enumerate(groups):
+            for j in range(i):
+                b = groups[j]
+                block = sim[np.ix_(a, b)]
+                avg = (block * np.outer(weight[a], weight[b])).sum() / np.outer(weight[a], weight[b]).sum()
+                if (block > 0).all() and avg >= best[0]:
+                    best = (avg, (i, j))
+        if best[1] is None:
+            return {frozenset(g) for g in groups}
+        i, j = best[1]
+        groups[j] += groups.pop(i)
+
+
+def test_average_linkage_equals_merging_the_best_pair():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 9, 14):
+        for _ in range(30):
+            sim = rng.random((n, n))
+            sim = np.where(rng.random((n, n)) < 0.1, 0, sim)
+            sim = np.triu(sim, 1) + np.triu(sim, 1).T + np.eye(n)
+            weight = rng.integers(1, 9, n).astype(float)
+            label = names.average_linkage(sim, weight, 0.45)
+            assert {frozenset(np.flatnonzero(label == k).tolist()) for k in set(label.tolist())} == greedy_linkage(sim, weight, 0.45)
+
+
+def test_cosine_join_equals_all_pairs(spark):
+    rng = random.Random(3)
+    words_ = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(120)] + ["renidofin", "renidfoin", "renidorin", "renidofn"]
+    cores = spark.createDataFrame([("p", w) for w in dict.fromkeys(words_)] + [("o", "renidofin")], "kind string, core string")
+    frequency = names.gram_frequencies(cores)
+    assert frequency[1] == cores.count()
+    got = {(r["core_a"], r["core_b"]): (r["cosine"], r["in_top"]) for r in names.similar_cores(cores, frequency, top=1).collect() if r["kind"] == "p"}
+    grams = names.Grams(*frequency)
+    long = sorted({w for w in words_ if len(w) >= names.LEAST_LETTERS})
+    want = {(a, b): grams.cosine(a, b) for i, a in enumerate(long) for b in long[i + 1:] if grams.cosine(a, b) >= names.COSINE}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - v) < 1e-9 for k, v in want.items())
+    assert ("renidofin", "renidorin") in got and {top for _, top in got.values()} == {True, False}  # the rest is kept
+    with pytest.raises(ValueError):
+        names.similar_cores(cores, frequency, least=0.05)
+
+
+def test_short_bare_and_foreign_names(spark):
+    groups = [
+        ["Иванов", "Иванов И. П."], ["МГУ"], ["Ли Ю"], ["Ю."], ["Евгений Петров", "Petrov, Yevgeny", "Петров Е. А."], ["William Gates", "Gates, Bill"], ["Сидоров"], ["Сидоров А. А."],
+        ["Сидоров Б. Б."], ["Ребипевин Э. Ю.", "Эдуард Ребипевин", "E. Yu. Rebipevin"], ["Ребипевин Е. А."], ["Ренихичина, Клавдия Н."], ["Ренихичина И. С."], ["王小明"],
+    ]
+    df = spark.createDataFrame([(x,) for g in groups for x in g] + [("без автора",), (" ",)], "author string")
+    got = collections.defaultdict(set)
+    for r in names.linked_names(df).collect():
+        got[r["entity"]].add(r["name"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
+
+
 def test_two_errors_of_one_name_join_it(spark):
     groups = [
         ["Горный комбинат «Регамут»", 'ГК "Регамут"', "ГК Регамут", "Горный комбинат Регмаут", "ГК «Регямут»"],
