@@ -26,7 +26,6 @@ from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -430,59 +429,104 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         roots = new.select("id", "root")
 
 
-def _blocks(frequency: tuple[dict[int, int], int]):
-    """The groups of one block of records that share component, initials and kind."""
+def by_block(df: DataFrame, keys: list[str], columns: list[str], work, schema: str) -> DataFrame:
+    """``work(rows)`` of the rows of each block of equal keys, as tuples of ``columns`` and in their order.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = Grams(*frequency)
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        rows = pdf.groupby("core", sort=True)["n"].sum()
-        cores = rows.index.tolist()
-        sim = np.ones((len(cores), len(cores)))
-        for i, j in itertools.combinations(range(len(cores)), 2):
-            sim[i, j] = sim[j, i] = vectors.similarity(cores[i], cores[j])
-        group = dict(zip(cores, average_linkage(sim, np.sqrt(rows.to_numpy()), LINKAGE).tolist()))
-        entity = np.empty(len(pdf), np.int64)
-        for _, part in pdf.groupby(pdf["core"].map(group), sort=False):
-            weight = part.groupby(["given", "patronymic"])["n"].sum()
-            forms = weight.index.tolist()
-            close = np.array([[form_similarity(x, y) for y in forms] for x in forms])
-            label = dict(zip(forms, average_linkage(close, np.sqrt(weight.to_numpy()), LINKAGE).tolist()))
-            number = [label[f] for f in zip(part["given"], part["patronymic"])]
-            for _, same in part.groupby(pd.Series(number, index=part.index), sort=False):
-                entity[same.index] = int(same["id"].iloc[0])
-        return pd.DataFrame({"id": pdf["id"], "entity": entity})
-
-    return run
+    Blocks are hashed to as many tasks as the session shuffles to; rows arrive sorted by block, so that a task holds one
+    block at a time. ``work`` gives rows of the schema.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names_ = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        current, held, out = None, [], []
+
+        def table():
+            cols = list(zip(*out)) or [()] * len(names_)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names_)
+
+        for batch in batches:
+            lists = [c.to_pylist() for c in batch.columns]
+            for key, row in zip(zip(*lists[:len(keys)]), zip(*lists[len(keys):])):
+                if key != current:
+                    if held:
+                        out.extend(work(held))
+                    current, held = key, []
+                held.append(row)
+            if len(out) > 10_000:
+                yield table()
+        if held:
+            out.extend(work(held))
+        yield table()
+
+    spread = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns).repartitionById(
+        n, F.pmod(F.xxhash64(*[f"_k{i}" for i in range(len(keys))]), F.lit(n)).cast("int"))
+    return spread.sortWithinPartitions(*[f"_k{i}" for i in range(len(keys))], columns[0]).mapInArrow(run, schema)
+
+
+def _linkage(items: list, weight: dict, similarity) -> dict:
+    """Items to cluster numbers."""
+    if len(items) == 1:
+        return {items[0]: 0}
+    sim = np.ones((len(items), len(items)))
+    for i, j in itertools.combinations(range(len(items)), 2):
+        sim[i, j] = sim[j, i] = similarity(items[i], items[j])
+    return dict(zip(items, average_linkage(sim, np.sqrt([weight[x] for x in items]), LINKAGE).tolist()))
+
+
+def _blocks(frequency: tuple[dict[int, int], int]):
+    """The groups of one block of records ``(id, core, given, patronymic, n)`` that share component, initials and kind."""
+    vectors = Grams(*frequency)
+
+    def work(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:
+            return []
+        weight: dict = defaultdict(int)
+        for _, core, given, patronymic, n in rows:
+            weight[core] += n
+        group = _linkage(sorted(weight), weight, vectors.similarity)
+        forms: dict = defaultdict(lambda: defaultdict(int))
+        for _, core, given, patronymic, n in rows:
+            forms[group[core]][given, patronymic] += n
+        label = {g: _linkage(sorted(w), w, form_similarity) for g, w in forms.items()}
+        first: dict = {}
+        return [(id_, first.setdefault((group[core], label[group[core]][given, patronymic]), id_)) for id_, core, given, patronymic, _ in rows]
+
+    return work
 
 
 def _attached(frequency: tuple[dict[int, int], int]):
-    """Records without a patronymic, each with the entity it joins: of those with its core and initial, or a linked core, the best."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors, whole, by_core = Grams(*frequency), defaultdict(list), defaultdict(set)
-        for r in pdf.itertuples(index=False):
-            if r.patronymic:
-                whole[r.entity].append(r)
-                by_core[r.core].add(r.entity)
+    """Records ``(id, core, given, patronymic, n, entity)`` without a patronymic, each with the entity it joins: of those with its
+    core and initial, or else a linked core, the best."""
+    vectors = Grams(*frequency)
+
+    def work(rows: list[tuple]) -> list[tuple]:
+        whole, by_core = defaultdict(list), defaultdict(set)
+        for _, core, given, patronymic, n, entity in rows:
+            if patronymic:
+                whole[entity].append((core, (given, patronymic), n))
+                by_core[core].add(entity)
         linked: dict[str, set] = {}
-        out = {}
-        for x in pdf[pdf["patronymic"] == ""].itertuples(index=False):
-            near = by_core.get(x.core)
+        out = []
+        for id_, core, given, patronymic, _, _ in rows:
+            if patronymic or not by_core:
+                continue
+            near = by_core.get(core)
             if near is None:
-                near = linked.get(x.core)
+                near = linked.get(core)
                 if near is None:
-                    near = linked[x.core] = {e for c, es in by_core.items() if vectors.similarity(c, x.core) >= LINKED for e in es}
+                    near = linked[core] = {e for c, es in by_core.items() if vectors.similarity(c, core) >= LINKED for e in es}
             best = (0.0, 0, 0)
             for e in near:
-                sims = [vectors.similarity(x.core, y.core) * form_similarity((x.given, x.patronymic), (y.given, y.patronymic)) for y in whole[e]]
+                sims = [vectors.similarity(core, c) * form_similarity((given, patronymic), f) for c, f, _ in whole[e]]
                 if min(sims) > 0 and sum(sims) / len(sims) >= LINKAGE:
-                    best = max(best, (round(sum(sims) / len(sims), 9), sum(y.n for y in whole[e]), e))
+                    best = max(best, (round(sum(sims) / len(sims), 9), sum(n for *_, n in whole[e]), e))
             if best[0]:
-                out[x.id] = best[2]
-        return pd.DataFrame({"id": list(out), "joins": list(out.values())}, dtype="int64")
+                out.append((id_, best[2]))
+        return out
 
-    return run
+    return work
 
 
 def linked_names(names: DataFrame, name: str = "author") -> DataFrame:
@@ -503,17 +547,12 @@ def linked_names(names: DataFrame, name: str = "author") -> DataFrame:
     first = lambda c: F.translate(F.substring(c, 1, 1), "ěè", "ee")
     keyed = records.withColumn("core_id", F.xxhash64("kind", "core")).join(roots.withColumnRenamed("id", "core_id"), "core_id", "left").withColumns({
         "root": F.coalesce("root", "core_id"), "g": F.when(F.col("kind") == "o", F.col("type")).otherwise(first("given")), "p": first("patronymic")})
-    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = ["kind", "root", "g", "p"]
-    # A block of one record needs no look; all others are little data but much work, not to be merged into one task.
-    sized = keyed.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*block)))
-    several = sized.where("_size > 1").repartition(n, *block).groupBy(*block).applyInPandas(_blocks(frequency), "id long, entity long")
+    fields = ["id", "core", "given", "patronymic", "n"]
+    several = by_block(keyed, ["kind", "root", "g", "p"], fields, _blocks(frequency), "id long, entity long")
     grouped = cut_lineage(keyed.join(several, "id", "left").withColumn("entity", F.coalesce("entity", "id")))
     # Without a patronymic: beside groups with one.
     people = grouped.where("kind = 'p' AND g != ''")
-    initial = ["root", "g"]
-    mixed = people.groupBy(*initial).agg(F.bool_or(F.col("p") == "").alias("x"), F.bool_or(F.col("p") != "").alias("y")).where("x AND y").select(*initial)
-    joins = people.join(mixed, initial, "left_semi").repartition(n, *initial).groupBy(*initial).applyInPandas(_attached(frequency), "id long, joins long")
+    joins = by_block(people, ["root", "g"], [*fields, "entity"], _attached(frequency), "id long, joins long")
     grouped = grouped.join(joins, "id", "left").withColumn("entity", F.coalesce("joins", "entity")).drop("joins")
     # A bare surname: the one entity of that core.
     owners = grouped.where("kind = 'p' AND g != ''").groupBy("core_id").agg(F.min("entity").alias("low"), F.max("entity").alias("high")).where("low = high")
