@@ -16,6 +16,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ _SIGNS = set("«»—–№“”„’‘…•©°")
 #: Letters of other languages' sound words: dearer than those of the model, far cheaper than other characters.
 _FOREIGN = set("äöüßÄÖÜàáâãåæçèéêëìíîïñòóôõøùúûýÿœšžłąćęńśźżğşıėœŁŞČŠŽÅÆÇÉÈÊØÑÕÐðÞþđěřůťďőűіїєґўІЇЄҐЎјљњћќџђѕЈЉЊЋЌЏЂЅѣѳѵѢѲѴђ")
 _CODED = re.compile("[^\x00-\x7f]")
+#: Characters that cost ``RARE_CHAR_BITS`` or more wherever they stand.
+_RARE = re.compile("[^" + re.escape(ALPHABET + ALPHABET.upper() + "".join(sorted(_PUNCT | _SIGNS | _FOREIGN))) + "]")
 
 
 @lru_cache(maxsize=None)
@@ -62,24 +65,48 @@ def _tables(encoding: str) -> tuple[dict, dict]:
     return to_byte, to_char
 
 
-def round_trip(text: str, read: str, really: str, strict: bool = True) -> str | None:
-    """``text`` as it was before it was decoded as ``read`` instead of ``really``, or None."""
-    to_byte, _ = _tables(read)
-    out = bytearray()
-    for c in text:
-        b = to_byte.get(c)
-        if b is None:
-            if strict:
-                return None
-            b = 0xFF  # never valid in UTF-8
-        out.append(b)
+class _Strict(dict):
+    """A table for ``str.translate`` in which a character without a byte becomes a mark."""
+
+    def __missing__(self, key):
+        return _NO_BYTE
+
+
+_NO_BYTE = "\ufffe"
+
+
+@lru_cache(maxsize=None)
+def _to_bytes(encoding: str) -> _Strict:
+    """Characters to the characters of Latin-1 with the same byte."""
+    return _Strict({ord(c): chr(b) for c, b in _tables(encoding)[0].items()})
+
+
+@lru_cache(maxsize=None)
+def _from_bytes(encoding: str) -> dict:
+    return {b: c for b, c in _tables(encoding)[1].items() if chr(b) != c}
+
+
+def _as_read(text: str, read: str, strict: bool) -> str | None:
+    """The bytes of a text under an encoding, as Latin-1 characters; lenient: 0xFF, never valid in UTF-8, for what has none."""
+    t = text.translate(_to_bytes(read))
+    if _NO_BYTE in t:
+        return None if strict else t.replace(_NO_BYTE, "\xff")
+    return t
+
+
+def _really(as_read: str, really: str, strict: bool) -> str | None:
     if really == "utf-8":
         try:
-            return out.decode("utf-8", "strict" if strict else "replace")
+            return as_read.encode("latin-1").decode("utf-8", "strict" if strict else "replace")
         except UnicodeDecodeError:
             return None
-    chars = _tables(really)[1]
-    return "".join([chars[b] for b in out])
+    return as_read.translate(_from_bytes(really))
+
+
+def round_trip(text: str, read: str, really: str, strict: bool = True) -> str | None:
+    """``text`` as it was before it was decoded as ``read`` instead of ``really``, or None."""
+    t = _as_read(text, read, strict)
+    return None if t is None else _really(t, really, strict)
 
 
 class Cost:
@@ -93,13 +120,27 @@ class Cost:
             total[a][b] += k
         self.bits = [[-math.log2(x / sum(row)) for x in row] for row in total]
         self.known: dict[str, float] = {}
+        self.beyond: dict[str, float] = {}
+
+    def excess(self, w: str) -> float:
+        """By how much a word is dearer than sound text; a strange word is always worth a look."""
+        got = self.beyond.get(w)
+        if got is None:
+            got = self.word(w) - EXCESS_RATE * len(w) - EXCESS_BASE
+            if got <= EXCESS_LEAST and _strange(w):
+                got = EXCESS_LEAST + 0.1
+            if len(self.beyond) > 500_000:
+                self.beyond.clear()
+            self.beyond[w] = got
+        return got
 
     def word(self, w: str) -> float:
         got = self.known.get(w)
         if got is None:
             got = self._word(w)
-            if len(self.known) < 500_000:
-                self.known[w] = got
+            if len(self.known) > 500_000:
+                self.known.clear()
+            self.known[w] = got
         return got
 
     def _word(self, w: str) -> float:
@@ -147,29 +188,31 @@ class Cost:
         return bits
 
 
-def bigram_counts(*texts: DataFrame) -> dict[str, int]:
-    """Counts of letter pairs (word edges are blanks) over all words of the given one-column frames.
+def bigram_counts(texts: DataFrame, text: str = "text") -> dict[str, int]:
+    """Counts of letter pairs (word edges are blanks) over all words of a column.
 
     Every row is counted. The result has at most 60 * 60 rows whatever the data, which is what comes to the driver.
     """
-    known = set(ALPHABET)
+    n = len(ALPHABET) + 1
+    place = np.full(0x500, n - 1, np.int64)
+    for c, i in LETTER.items():
+        place[ord(c)] = i
 
     def run(batches):
+        counts = np.zeros(n * n, np.int64)
         for batch in batches:
-            counts: dict[str, int] = {}
-            for t in batch.column(0).to_pylist():
-                s = " " + re.sub("[^a-zа-яё]+", " ", t.lower()) + " "
-                for a, b in zip(s, s[1:]):
-                    p = a + b
-                    counts[p] = counts.get(p, 0) + 1
-            counts = {p: k for p, k in counts.items() if p != "  " and (p[0] in known or p[0] == " ")}
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["p", "k"])
-
-    parts = [t.toDF("t").where(F.col("t").isNotNull()).mapInArrow(run, "p string, k long") for t in texts]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return {r["p"]: r["k"] for r in whole.groupBy("p").agg(F.sum("k").alias("k")).collect()}
+            for lo in range(0, batch.num_rows, 2000):
+                whole = " ".join(["", *[t for t in batch.column(0).slice(lo, 2000).to_pylist() if t is not None], ""]).lower()
+                codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+                at = place[np.where(codes < 0x500, codes, 0)]
+                counts += np.bincount(at[:-1] * n + at[1:], minlength=n * n)
+        counts[-1] = 0  # two blanks
+        keep = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(counts[keep])], ["p", "k"])
+
+    letter = ALPHABET + " "
+    got = texts.select(text).mapInArrow(run, "p long, k long").groupBy("p").agg(F.sum("k").alias("k")).collect()
+    return {letter[r["p"] // n] + letter[r["p"] % n]: r["k"] for r in got}
 
 
 def _stretch(gains: list[float]) -> tuple[float, int, int]:
@@ -195,10 +238,9 @@ GAP, MARGIN = 8, 3  # words between two dear ones, and around them, that are loo
 def regions(words: list[str], cost: Cost) -> list[tuple[int, int]]:
     """Stretches of words that are dearer than sound text: all that could be garbled, with a margin."""
     out: list[list] = []
-    for i, w in enumerate(words):
-        excess = cost.word(w) - EXCESS_RATE * len(w) - EXCESS_BASE
-        if excess <= EXCESS_LEAST and _strange(w):
-            excess = EXCESS_LEAST + 0.1  # always worth a look
+    known = cost.beyond
+    found = [known[w] if w in known else cost.excess(w) for w in words]
+    for i, excess in enumerate(found):
         if excess <= 0:
             continue
         if out and i - out[-1][1] <= GAP:
@@ -236,29 +278,41 @@ class Repairer:
         self.cost = Cost(counts)
         self.known: tuple[dict, dict] = ({}, {})
 
-    def _options(self, w: str, strict: bool) -> list[tuple[str | None, float]]:
+    def _options(self, w: str, strict: bool) -> tuple[list[tuple[str | None, float]], list[int]]:
+        """What each pair of encodings makes of a word, with the gain, and the pairs that gain anything."""
         known = self.known[strict]
         got = known.get(w)
         if got is None:
-            bits, got = self.cost.word(w), []
-            for read, really in PAIRS:
-                if not _CODED.search(w):
-                    got.append((w, 0.0))
-                    continue
-                new = round_trip(w, read, really, strict)
-                if new is None or (not strict and (really != "utf-8" or new.count("�") * 2 > len(new))):
-                    got.append((None, -30.0))
-                else:
-                    got.append((new, bits - self.cost.word(new) if new != w else 0.0))
+            if not _CODED.search(w):
+                got = [(w, 0.0)] * len(PAIRS)
+            else:
+                bits, got, done = self.cost.word(w), [], {}
+                as_read = {read: _as_read(w, read, strict) for read in READ_AS}
+                for read, really in PAIRS:
+                    t = as_read[read]
+                    new = None if t is None else _really(t, really, strict)
+                    if new is None or (not strict and (really != "utf-8" or new.count("�") * 2 > len(new))):
+                        got.append((None, -30.0))
+                        continue
+                    gain = done.get(new)
+                    if gain is None:
+                        gain = 0.0
+                        if new != w:
+                            # Characters that no sound word has cost so much that the rest need not be added up.
+                            dear = RARE_CHAR_BITS * len(_RARE.findall(new))
+                            gain = bits - (dear if dear > 2 * bits + 10 else self.cost.word(new))
+                        done[new] = gain
+                    got.append((new, gain))
             if len(known) > 60_000:
                 known.clear()
-            known[w] = got
+            got = known[w] = got, [p for p, (_, gain) in enumerate(got) if gain > 0]
         return got
 
     def _step(self, words: list[str], strict: bool) -> tuple[int, int, list[str]] | None:
-        options = [self._options(w, strict) for w in words]
+        both = [self._options(w, strict) for w in words]
+        options = [o for o, _ in both]
         best, pick = 0.0, None
-        for p in range(len(PAIRS)):
+        for p in sorted({p for _, good in both for p in good}):
             gain, a, b = _stretch([o[p][1] for o in options])
             if gain <= best or gain < LEAST_GAIN:
                 continue
@@ -273,8 +327,7 @@ class Repairer:
         lost = bool(_LOST.search(text))
         if not lost and not _CODED.search(text):
             return text, False, False
-        spans = [m.span() for m in _WORD.finditer(text)]
-        words = [text[a:b] for a, b in spans]
+        words = _WORD.findall(text)
         garbled = False
         for a, b in regions(words, self.cost):
             part, layers = words[a:b], 0
@@ -296,7 +349,7 @@ class Repairer:
         if not garbled and not lost:
             return text, False, False
         out, at = [], 0
-        for (a, b), w in zip(spans, words):
+        for (a, b), w in zip([m.span() for m in _WORD.finditer(text)], words):
             out += [text[at:a], w]
             at = b
         return "".join([*out, text[at:]]), True, garbled and not lost
@@ -336,9 +389,8 @@ def repaired(cells: DataFrame, counts: dict[str, int], id_column: str = "row_id"
     return cells.where(F.length(text) > 0).select(*keep, text).mapInArrow(run, schema)
 
 
-def garbled_cells(tables: dict[str, tuple[DataFrame, list[str]]], id_column: str = "row_id") -> DataFrame:
-    """``(table_name, row_id, column_name, text, repaired_text, restored)`` of the garbled cells of the named tables' columns."""
-    counts = bigram_counts(*[df.select(c) for df, columns in tables.values() for c in columns])
+def cells_of(tables: dict[str, tuple[DataFrame, list[str]]], id_column: str = "row_id") -> DataFrame:
+    """``(table_name, row_id, column_name, text)`` of the named tables' columns; each table is read once."""
     cells = None
     for name, (df, columns) in tables.items():
         one = df.select(
@@ -346,4 +398,10 @@ def garbled_cells(tables: dict[str, tuple[DataFrame, list[str]]], id_column: str
             F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("text")) for c in columns])).alias("cell"),
         ).select("table_name", "row_id", "cell.column_name", "cell.text")
         cells = one if cells is None else cells.unionByName(one)
-    return repaired(cells, counts)
+    return cells
+
+
+def garbled_cells(tables: dict[str, tuple[DataFrame, list[str]]], id_column: str = "row_id") -> DataFrame:
+    """``(table_name, row_id, column_name, text, repaired_text, restored)`` of the garbled cells of the named tables' columns."""
+    cells = cells_of(tables, id_column)
+    return repaired(cells, bigram_counts(cells))

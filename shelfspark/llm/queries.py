@@ -50,8 +50,11 @@ def _authors(spark: SparkSession, d: str) -> DataFrame:
     """Sound spellings: garbled cells (problem 5) are left out."""
     catalogue = load(spark, d, "catalogue")
     authors = catalogue.where(F.col("author").isNotNull()).groupBy("author").agg(F.count(F.lit(1)).alias("rows"))
-    counts = encoding.bigram_counts(catalogue.select("title"), catalogue.select("author"))
-    garbled = encoding.repaired(authors.select("author", F.col("author").alias("text")), counts).select("author")
+    counts = encoding.bigram_counts(encoding.cells_of({"catalogue": (catalogue, ["title", "author"])}))
+    # Little data but much work a row: not to be merged into one task.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = authors.select("author", F.col("author").alias("text")).repartitionById(n, F.pmod(F.xxhash64("author"), F.lit(n)).cast("int"))
+    garbled = encoding.repaired(spread, counts).select("author")
     return catalogue.select("author").join(garbled, "author", "left_anti")
 
 

@@ -179,8 +179,8 @@ SOUND = [
 
 @pytest.fixture(scope="module")
 def repairer(spark, data):
-    tables = [spark.read.parquet(f"{data}/{t}.parquet").select(c) for t, c in (("object_fields", "field_value"), ("catalogue", "title"))]
-    return encoding.Repairer(encoding.bigram_counts(*tables))
+    return encoding.Repairer(encoding.bigram_counts(encoding.cells_of(
+        {t: (spark.read.parquet(f"{data}/{t}.parquet"), [c]) for t, c in (("object_fields", "field_value"), ("catalogue", "title"))})))
 
 
 @pytest.mark.parametrize(("really", "read"), [("utf-8", "cp1251"), ("utf-8", "latin-1"), ("utf-8", "koi8-r"), ("utf-8", "cp866"), ("cp1251", "latin-1"), ("cp1251", "koi8-r"),
