@@ -1,17 +1,21 @@
 """Evaluation items that stand in documents, whole or in part.
 
-Texts become words: lower case, without punctuation, spacing and invisible characters, with one spelling of yo. Every
-window of ``WINDOW`` words has a 64-bit SimHash of its words. The windows of all items are indexed in ``RADIUS + 1`` blocks of
-bits: two fingerprints within Hamming distance ``RADIUS`` agree in at least one block, so looking every document window up
-block by block finds all item windows within the radius. A candidate is verified exactly: along its diagonal the texts
-are compared word by word, and the aligned stretch may hold single changed words only.
-
-The method's windows are as long as an item; here they are shorter, since items also leak in part. A stretch that counts
-has ``LEAST_WORDS`` words or more, of which at most a quarter is changed, singly: then three unchanged words stand together
-somewhere (3m equal words of 4m in m + 1 runs at most), so that windows of three words lose none.
-
-Items are the small side: they are gathered once, with their number of words checked against ``ITEM_WORDS_LIMIT``; above
-that, blocks of items are looked up one after the other in the same pass over the documents' windows.
+Texts become words: lower case, without punctuation, spacing and invisible characters, with one spelling of yo. A *stretch* is
+a run of a document and a run of an item laid side by side in which no two neighbouring words both differ. A document holds
+an item if a stretch has ``LEAST_WORDS`` equal words, or as many words of which three quarters are equal.
+
+Windows of three words, in the four ``SHAPES`` (with up to two places left free), have a 64-bit SimHash, which for three words is
+the bitwise majority of their hashes. Every stretch that counts has ``LEAST_HITS`` windows or more that are wholly unchanged,
+within ``REACH`` words (all patterns of changes were enumerated, the tests do it again), so their fingerprints agree exactly.
+
+1. A bit map of the items' fingerprints, sized by their number, goes to all tasks. One pass over the corpus keeps the
+   documents in which enough windows lie in it close together; nothing else is written.
+2. Fingerprints of kept documents and items are joined. Pairs with enough hits on one diagonal are candidates.
+3. A candidate is verified exactly: along its diagonals the texts are compared word by word.
+
+Why not windows as long as an item within a Hamming radius: a leak of 12 words in an item of 150 moves nearly as many bits
+as another text does, and in a window of 12 words one changed word already moves 8 of 64 bits, every third one 17; blocks
+that guarantee a radius of 17 would be under 4 bits wide.
 """
 
 from __future__ import annotations
@@ -24,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LEAST_WORDS, RADIUS = 3, 12, 3
-BITS = 64
-ITEM_WORDS_LIMIT = 4_000_000
+from shelfspark.session import cut_lineage
+
+LEAST_WORDS = 12
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
+LEAST_HITS, REACH = 8, 24
+BITS_PER_WINDOW, LEAST_BITS, MOST_BITS = 32, 20, 30  # of the bit map; 2^30 bits are 128 MB, beyond which it only keeps less out
 
 WORD = re.compile(r"[^\W_]+")
 INVISIBLE = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF])
@@ -42,195 +49,189 @@ def words(text: str) -> list[str]:
 
 
 class Hasher:
-    """Words to 64 signs each, as +-1 bytes; every distinct word is hashed once."""
+    """Words to 64-bit hashes; every distinct word is hashed once."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
-        self.signs = np.empty((1024, BITS), np.int8)
+        self.known: dict[str, int] = {}
 
-    def rows(self, ws: list[str]) -> np.ndarray:
+    def __call__(self, ws: list[str]) -> np.ndarray:
         import xxhash
 
-        number = self.number
-        out = np.empty(len(ws), np.int64)
-        for i, w in enumerate(ws):
-            n = number.get(w)
-            if n is None:
-                n = number[w] = len(number)
-                if n >= len(self.signs):
-                    self.signs = np.concatenate([self.signs, np.empty_like(self.signs)])
-                bits = np.unpackbits(np.frombuffer(xxhash.xxh64_digest(w), np.uint8))
-                self.signs[n] = 2 * bits.astype(np.int8) - 1
-            out[i] = n
-        if len(number) > 2_000_000:  # bounds the memory of a worker
-            raise_after = self.signs[out]
-            self.number, self.signs = {}, np.empty((1024, BITS), np.int8)
-            return raise_after
-        return self.signs[out]
-
-
-def fingerprints(signs: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """SimHash of each window of words: the sign of the sum over its words, bit by bit (ties count as set)."""
-    n = len(signs) - window + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    total = signs[:n].copy()
-    for k in range(1, window):
-        total += signs[k:k + n]
-    return np.packbits(total >= 0, axis=1).view(np.uint64)[:, 0]
-
-
-class ItemIndex:
-    """Item words, and their windows' fingerprints in blocks of bits."""
-
-    def __init__(self, items: list[tuple], window: int = WINDOW, radius: int = RADIUS):
-        self.ids, self.window, self.radius = [], window, radius
-        hasher, prints, owner, at = Hasher(), [], [], []
-        self.words: list[list[str]] = []
-        for item_id, ws in items:
-            f = fingerprints(hasher.rows(ws), window)
-            if len(f):
-                prints.append(f)
-                owner.append(np.full(len(f), len(self.ids)))
-                at.append(np.arange(len(f)))
-                self.ids.append(item_id)
-                self.words.append(ws)
-        self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
-        # Copies of a window (items that share a passage) are looked up once.
-        self.prints, inverse = np.unique(self.prints, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        self.owner = np.concatenate(owner)[order] if owner else np.empty(0, np.int64)
-        self.at = np.concatenate(at)[order] if at else np.empty(0, np.int64)
-        self.owner_from = np.searchsorted(inverse[order], np.arange(len(self.prints) + 1))
-        self.blocks = []
-        width = BITS // (radius + 1)
-        for b in range(radius + 1):
-            key = self.block(self.prints, b, width)
-            by = np.argsort(key, kind="stable")
-            self.blocks.append((b, width, by, np.searchsorted(key[by], np.arange((1 << width) + 1))))
-
-    @staticmethod
-    def block(prints: np.ndarray, b: int, width: int) -> np.ndarray:
-        return ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (document window, distinct item window) within the radius."""
-        found = []
-        for b, width, by, starts in self.blocks:
-            key = self.block(prints, b, width)
-            lo, n = starts[key], starts[key + 1] - starts[key]
-            left = np.repeat(np.arange(len(prints)), n)
-            right = by[np.repeat(lo, n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)]
-            close = np.bitwise_count(prints[left] ^ self.prints[right]) <= self.radius
-            found.append(left[close] * len(self.prints) + right[close])
-        pair = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        return pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
-
-    def stretch(self, doc: list[str], item: int, p: int, q: int) -> tuple[int, int, int]:
-        """The aligned stretch on a diagonal around (p, q): first word in the document, end, equal words."""
-        ws = self.words[item]
-        a, b, equal = p, p + self.window, sum(doc[p + k] == ws[q + k] for k in range(self.window))
-        shift = q - p
-        i = b
-        while i < len(doc) and i + shift < len(ws):
-            if doc[i] == ws[i + shift]:
-                equal, b = equal + 1, i + 1
-            elif i > b:  # two changed words in a row end it
-                break
-            i += 1
-        i = a - 1
-        while i >= 0 and i + shift >= 0:
-            if doc[i] == ws[i + shift]:
-                equal, a = equal + 1, i
-            elif i < a - 1:
-                break
-            i -= 1
-        return a, b, equal
-
-    def leaks(self, doc: list[str], p: np.ndarray, w: np.ndarray, least: int) -> dict[int, int]:
-        """Items that the document holds, with the length of the longest aligned stretch in words."""
-        out: dict[int, int] = {}
-        seen: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the last stretch
-        for pi, wi in zip(p.tolist(), w.tolist()):
-            for k in range(self.owner_from[wi], self.owner_from[wi + 1]):
-                item, q = int(self.owner[k]), int(self.at[k])
-                if seen.get((item, q - pi), -1) >= pi + self.window:
-                    continue
-                ws = self.words[item]
-                if sum(doc[pi + j] == ws[q + j] for j in range(self.window)) < self.window - 1:
-                    continue
-                a, b, equal = self.stretch(doc, item, pi, q)
-                seen[item, q - pi] = b
-                if b - a >= least and equal * 4 >= (b - a) * 3:
-                    out[item] = max(out.get(item, 0), b - a)
+        known = self.known
+        if len(known) > 2_000_000:  # bounds the memory of a worker
+            known.clear()
+        for w in set(ws):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
+
+
+def fingerprints(hashes: np.ndarray) -> list[np.ndarray]:
+    """SimHash of each window of each shape: bit by bit what most of its three words have. Shapes are told apart."""
+    out = []
+    for k, (_, i, j) in enumerate(SHAPES):
+        n = max(0, len(hashes) - j)
+        a, b, c = hashes[:n], hashes[i:i + n], hashes[j:j + n]
+        out.append(((a & b) | (a & c) | (b & c)) ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+    return out
+
+
+def _probes(prints: np.ndarray, bits: int) -> list[np.ndarray]:
+    mask = np.uint64((1 << bits) - 1)
+    return [((prints * np.uint64(m)) >> np.uint64(64 - bits) & mask).astype(np.int64) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
+class BitMap:
+    """Which fingerprints the items may have: two bits each; never wrong about one that they have."""
+
+    def __init__(self, bits: int, packed: np.ndarray | None = None):
+        self.bits, self.packed = bits, np.zeros(1 << (bits - 3), np.uint8) if packed is None else packed
+
+    def add(self, prints: np.ndarray) -> None:
+        for at in _probes(prints, self.bits):
+            np.bitwise_or.at(self.packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def has(self, prints: np.ndarray) -> np.ndarray:
+        one, two = _probes(prints, self.bits)
+        out = (self.packed[one >> 3] >> (one & 7).astype(np.uint8)) & 1 == 1
+        at = np.flatnonzero(out)
+        out[at] = (self.packed[two[at] >> 3] >> (two[at] & 7).astype(np.uint8)) & 1 == 1
         return out
 
 
-def item_words(items: DataFrame) -> list[tuple]:
+def dense(at: np.ndarray, least: int = LEAST_HITS, reach: int = REACH) -> bool:
+    """Whether ``least`` of the sorted places lie within ``reach`` words."""
+    return len(at) >= least and bool((at[least - 1:] - at[:len(at) - least + 1] < reach).any())
+
+
+def stretches(doc: list[str], item: list[str], shift: int, least: int = LEAST_WORDS) -> int:
+    """The longest stretch in words that counts on the diagonal where ``doc[i]`` lies beside ``item[i + shift]``, or 0."""
+    first, last = max(0, -shift), min(len(doc), len(item) - shift)
+    best, start, end, equal = 0, None, None, 0
+    for i in range(first, last + 1):
+        same = i < last and doc[i] == item[i + shift]
+        if same:
+            if start is None:
+                start, equal = i, 0
+            equal, end = equal + 1, i + 1
+        elif start is not None and (i >= last or i > end):  # two changed words in a row end it
+            if equal >= least or end - start >= least and equal * 4 >= (end - start) * 3:
+                best = max(best, end - start)
+            start = None
+    return best
+
+
+def _item_rows(items: DataFrame) -> DataFrame:
     """``(item_id, words)`` of the text after the instruction line; null texts and texts of one line have none."""
-    rows = items.where(F.col("item_text").isNotNull()).select("item_id", "item_text").distinct().collect()
-    return [(r[0], words(r[1].partition("\n")[2])) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
+    kind = items.schema["item_id"].dataType.simpleString()
 
+    def run(batches):
+        for batch in batches:
+            held = [words((t or "").partition("\n")[2]) for t in batch.column(1).to_pylist()]
+            take = pa.array([i for i, ws in enumerate(held) if ws], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array([" ".join(ws) for ws in held if ws], pa.string())], ["item_id", "words"])
 
-def leaked_items(
-    docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS,
-) -> DataFrame:
-    """``(doc_id, item_id, n_words)``: the items each document holds, with the longest stretch in words.
+    return items.select("item_id", "item_text").mapInArrow(run, f"item_id {kind}, words string").distinct()
+
+
+def _item_windows(rows: DataFrame) -> DataFrame:
+    """``(f, item, q)``: fingerprint, item and place of each window."""
 
-    Null and empty texts hold none, an item of fewer than ``least_words`` words is never found, repeated rows give one row.
-    """
-    spark = docs.sparkSession
-    size = items.agg(F.sum(F.size(F.split("item_text", r"\s+"))).alias("n")).first()["n"] or 0
-    id_type, item_type = docs.schema[id_column].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    source = docs.where(F.length(text) > 0).select(id_column, text)
-    n_blocks = max(1, -(-size // ITEM_WORDS_LIMIT))
-    out = None
-    for b in range(n_blocks):  # one block unless the items outgrow what an executor can hold
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b)
-        shared = spark.sparkContext.broadcast(item_words(part))
-        found = source.mapInArrow(_scan(shared, least_words, id_column), f"`{id_column}` {id_type}, item_id {item_type}, n_words int")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy(id_column, "item_id").agg(F.max("n_words").alias("n_words"))
-
-
-def _scan(shared, least: int, id_column: str):
     def run(batches):
-        index = ItemIndex(shared.value)
         hasher = Hasher()
+        for batch in batches:
+            numbers, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for number, text in zip(numbers, texts):
+                for prints in fingerprints(hasher(text.split(" "))):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(prints.view(np.int64)), pa.array(np.full(len(prints), number, np.int64)), pa.array(np.arange(len(prints), dtype=np.int32))], ["f", "item", "q"])
+
+    return rows.select("item", "words").mapInArrow(run, "f long, item long, q int")
+
+
+def _bit_map(windows: DataFrame, n: int) -> BitMap:
+    """Of the windows' fingerprints; a few tasks fill one each, which are united."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (n * BITS_PER_WINDOW).bit_length()))
+
+    def run(batches):
+        own = BitMap(bits)
+        for batch in batches:
+            own.add(batch.column(0).to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([own.packed.tobytes()], pa.binary())], ["packed"])
+
+    out = BitMap(bits)
+    for r in windows.select("f").coalesce(4).mapInArrow(run, "packed binary").toLocalIterator():
+        out.packed |= np.frombuffer(r[0], np.uint8)
+    return out
+
 
-        def emit(ids, held):
-            docs = [d for _, d in held]
-            flat = [w for d in docs for w in d]
-            signs = hasher.rows(flat)
-            starts = np.cumsum([0, *map(len, docs)])
-            prints = fingerprints(signs, index.window)
-            p, w = index.near(prints)
-            owner = np.searchsorted(starts, p, side="right") - 1
-            inside = p + index.window <= starts[owner + 1]
-            p, w, owner = p[inside], w[inside], owner[inside]
-            cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
-            rows = []
-            for k in np.unique(owner).tolist():
-                a, b = cuts[k], cuts[k + 1]
-                for item, n in index.leaks(docs[k], p[a:b] - starts[k], w[a:b], least).items():
-                    rows.append((held[k][0], index.ids[item], n))
-            return rows
+def _kept(docs: DataFrame, id_column: str, text: str, shared) -> DataFrame:
+    """``(doc, words, hits)`` of the documents with windows of the bit map close together, in one pass."""
+    kind = docs.schema[id_column].dataType.simpleString()
 
+    def run(batches):
+        hasher, (bits, packed) = Hasher(), shared.value
+        known = BitMap(bits, packed)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo in range(0, len(texts), 200):
+                held = [words(t) for t in texts[lo:lo + 200]]
+                starts = np.cumsum([0, *map(len, held)])
+                hashes = hasher([w for ws in held for w in ws])
+                at, prints = [], []
+                for shape, f in zip(SHAPES, fingerprints(hashes)):
+                    p = np.flatnonzero(known.has(f))
+                    owner = np.searchsorted(starts, p, side="right") - 1
+                    p = p[p + shape[-1] < starts[owner + 1]]
+                    at.append(p)
+                    prints.append(f[p])
+                at, prints = np.concatenate(at), np.concatenate(prints)
+                order = np.argsort(at, kind="stable")
+                at, prints = at[order], prints[order]
+                cuts = np.searchsorted(at, starts)
+                take = [k for k in range(len(held)) if dense(at[cuts[k]:cuts[k + 1]])]
+                hits = [[{"f": int(f), "p": int(p)} for f, p in zip(
+                    prints[cuts[k]:cuts[k + 1]].view(np.int64).tolist(), (at[cuts[k]:cuts[k + 1]] - starts[k]).tolist())] for k in take]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([lo + k for k in take], pa.int64())), pa.array([" ".join(held[k]) for k in take], pa.string()),
+                     pa.array(hits, pa.list_(pa.struct([("f", pa.int64()), ("p", pa.int32())])))], [id_column, "words", "hits"])
+
+    return docs.where(F.length(text) > 0).select(id_column, text).mapInArrow(
+        run, f"`{id_column}` {kind}, words string, hits array<struct<f:bigint,p:int>>")
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(doc_id, item_id, n_words)``: the items each document holds, with the longest stretch in words.
+
+    Null and empty texts hold none, an item of fewer than ``least_words`` words is never found, repeated rows give one row.
+    ``least_words`` may not be under ``LEAST_WORDS``, for which the windows are made.
+    """
+    if least_words < LEAST_WORDS:
+        raise ValueError(f"at least {LEAST_WORDS} words")
+    rows = cut_lineage(_item_rows(items).withColumn("item", F.monotonically_increasing_id()))
+    windows = cut_lineage(_item_windows(rows))
+    known = _bit_map(windows, windows.count())
+    shared = docs.sparkSession.sparkContext.broadcast((known.bits, known.packed))  # 128 MB at most
+    kept = cut_lineage(_kept(docs, id_column, text, shared).withColumn("doc", F.monotonically_increasing_id()))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = kept.select("doc", F.explode("hits").alias("h")).select("doc", "h.f", "h.p").join(windows, "f")
+    diagonals = met.groupBy("doc", "item", (F.col("q") - F.col("p")).alias("shift")).agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= LEAST_HITS)
+    candidates = diagonals.groupBy("doc", "item").agg(F.collect_list("shift").alias("shifts"))
+    pairs = candidates.join(rows, "item").withColumnRenamed("words", "item_words").join(kept.select("doc", id_column, "words"), "doc")
+    doc_kind, item_kind = docs.schema[id_column].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+
+    def verify(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            held, size, out = [], 0, []
-            for i, t in enumerate(texts):
-                ws = words(t)
-                held.append((ids[i].as_py(), ws))
-                size += len(ws)
-                if size > 50_000:
-                    out += emit(ids, held)
-                    held, size = [], 0
-            if held:
-                out += emit(ids, held)
-            cols = list(zip(*out)) or [(), (), ()]
+            doc_words, item_words, shifts = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            longest = []
+            for d, i, s in zip(doc_words, item_words, shifts):
+                d, i = d.split(" "), i.split(" ")
+                longest.append(max(stretches(d, i, x, least_words) for x in s))
+            take = pa.array([k for k, x in enumerate(longest) if x], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], ids.type), pa.array(cols[1]) if out else pa.array([], pa.int64()), pa.array(cols[2], pa.int32())],
-                [id_column, "item_id", "n_words"])
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array([x for x in longest if x], pa.int32())], [id_column, "item_id", "n_words"])
 
-    return run
+    spread = pairs.repartitionById(n, F.pmod(F.xxhash64("doc", "item"), F.lit(n)).cast("int"))
+    found = spread.select(id_column, "item_id", "words", "item_words", "shifts").mapInArrow(
+        verify, f"`{id_column}` {doc_kind}, item_id {item_kind}, n_words int")
+    return found.groupBy(id_column, "item_id").agg(F.max("n_words").alias("n_words"))

@@ -354,18 +354,60 @@ def test_leaks_with_every_fourth_word_changed(spark):
     assert 153 in got and got == {d for d, _ in docs}
 
 
-def test_near_fingerprints_are_all_found():
-    rng = np.random.default_rng(3)
-    index = leakage.ItemIndex([(1, [f"w{i}" for i in range(300)])])
-    base = index.prints[rng.integers(0, len(index.prints), 200)]
-    flips = np.zeros(200, np.uint64)
-    for k in range(200):
-        for b in rng.choice(64, rng.integers(0, 4), replace=False):
-            flips[k] |= np.uint64(1) << np.uint64(b)
-    prints = base ^ flips
-    left, right = index.near(prints)
-    want = {(i, j) for i in range(200) for j in np.flatnonzero(np.bitwise_count(prints[i] ^ index.prints) <= leakage.RADIUS)}
-    assert set(zip(left.tolist(), right.tolist())) == {(int(a), int(b)) for a, b in want}
+def test_every_leak_has_enough_unchanged_windows():
+    import itertools
+
+    def hits(same):
+        return [i for s in leakage.SHAPES for i in range(len(same) - s[-1]) if all(same[i + o] for o in s)]
+
+    for gaps in itertools.product((0, 1), repeat=leakage.LEAST_WORDS - 1):  # as many equal words, single changed ones between
+        same = [1]
+        for g in gaps:
+            same += [0] * g + [1]
+        assert len(same) < leakage.REACH and len(hits(same)) >= leakage.LEAST_HITS
+    for n in range(leakage.LEAST_WORDS, 16):  # three quarters of them equal
+        for same in itertools.product((0, 1), repeat=n):
+            if same[0] and same[-1] and sum(same) * 4 >= n * 3 and (0, 0) not in zip(same, same[1:]):
+                assert len(hits(same)) >= leakage.LEAST_HITS
+
+
+def test_leaks_with_many_single_changes(spark):
+    passage = [f"слово{i}" for i in range(120)]
+    items = spark.createDataFrame([(1, "Read.\n" + " ".join(passage))], "item_id long, item_text string")
+    third = [w if k % 3 != 2 else f"иное{k}" for k, w in enumerate(passage)]
+    second = [w if k % 2 == 0 else f"иное{k}" for k, w in enumerate(passage)]
+    double = [w if k % 3 == 0 else f"иное{k}" for k, w in enumerate(passage)]  # two changed words in a row
+    few = [w if k % 2 == 0 else f"иное{k}" for k, w in enumerate(passage[:21])]  # eleven equal words
+    docs = spark.createDataFrame([(i, "x " * 30 + " ".join(ws)) for i, ws in enumerate([third, second, double, few])], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_words"] for r in leakage.leaked_items(docs, items).collect()}
+    assert got == {0: 119, 1: 119}
+
+
+def test_stretches_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        item = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        doc = [rng.choice("abc") if rng.random() < 0.3 else w for w in item]
+        shift = rng.randint(-3, 3)
+        best = 0
+        places = [i for i in range(len(doc)) if 0 <= i + shift < len(item)]
+        same = {i: doc[i] == item[i + shift] for i in places}
+        for a in places:
+            for b in places:
+                run = [same[i] for i in range(a, b + 1)]
+                if b >= a and same[a] and same[b] and (False, False) not in zip(run, run[1:]):
+                    maximal = not any(same.get(a - k, False) for k in (1, 2)) and not any(same.get(b + k, False) for k in (1, 2))
+                    if maximal and (sum(run) >= 12 or len(run) >= 12 and sum(run) * 4 >= 3 * len(run)):
+                        best = max(best, len(run))
+        assert leakage.stretches(doc, item, shift) == best
+
+
+def test_the_bit_map_knows_its_own():
+    rng = np.random.default_rng(1)
+    own, other = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 1 << 63, 50_000).astype(np.uint64)
+    known = leakage.BitMap(20)
+    known.add(own)
+    assert known.has(own).all() and known.has(other).mean() < 0.001
 
 
 # ----------------------------------------------------------------------------------------------------------------- pii
