@@ -4,9 +4,9 @@ Texts become words: lower case, without punctuation, spacing and invisible chara
 a run of a document and a run of an item laid side by side in which no two neighbouring words both differ. A document holds
 an item if a stretch has ``LEAST_WORDS`` equal words, or as many words of which three quarters are equal.
 
-Windows of three words, in the four ``SHAPES`` (with up to two places left free), have a 64-bit SimHash, which for three words is
-the bitwise majority of their hashes. Every stretch that counts has ``LEAST_HITS`` windows or more that are wholly unchanged,
-within ``REACH`` words (all patterns of changes were enumerated, the tests do it again), so their fingerprints agree exactly.
+Windows of five words, in the sixteen ``SHAPES`` (between two of them one place may be left free), have a 64-bit SimHash, the
+bitwise majority of the words' hashes. Any five equal words that follow each other in a stretch are such a window, wholly
+unchanged, so their fingerprints agree exactly: a stretch that counts has ``LEAST_HITS`` of them within ``REACH`` words.
 
 1. A bit map of the items' fingerprints, sized by their number, goes to all tasks. One pass over the corpus keeps the
    documents in which enough windows lie in it close together; nothing else is written.
@@ -20,6 +20,7 @@ that guarantee a radius of 17 would be under 4 bits wide.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from shelfspark.session import cut_lineage
 
 LEAST_WORDS = 12
-SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
-LEAST_HITS, REACH = 8, 24
+SHAPES = [(0, *itertools.accumulate(steps)) for steps in itertools.product((1, 2), repeat=4)]
+LEAST_HITS, REACH = 5, 24  # nine equal words of twelve hold five such windows, twelve equal words eight
 BITS_PER_WINDOW, LEAST_BITS, MOST_BITS = 32, 20, 30  # of the bit map; 2^30 bits are 128 MB, beyond which it only keeps less out
 
 WORD = re.compile(r"[^\W_]+")
@@ -67,12 +68,20 @@ class Hasher:
 
 
 def fingerprints(hashes: np.ndarray) -> list[np.ndarray]:
-    """SimHash of each window of each shape: bit by bit what most of its three words have. Shapes are told apart."""
+    """SimHash of each window of each shape: bit by bit what most of its five (word, place in the window) have.
+
+    The place turns a word's hash, so that a word that stands there twice is not most of it. Shapes are told apart.
+    """
     out = []
-    for k, (_, i, j) in enumerate(SHAPES):
-        n = max(0, len(hashes) - j)
-        a, b, c = hashes[:n], hashes[i:i + n], hashes[j:j + n]
-        out.append(((a & b) | (a & c) | (b & c)) ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+    turned = [hashes, *[(hashes << np.uint64(r)) | (hashes >> np.uint64(64 - r)) for r in (13, 26, 39, 52)]]
+    for k, shape in enumerate(SHAPES):
+        n = max(0, len(hashes) - shape[-1])
+        a, b, c, d, e = (t[i:i + n] for t, i in zip(turned, shape))
+        ab, two = a ^ b, a & b
+        one, first = ab ^ c, two | (ab & c)  # sum and carry of three
+        de, two = d ^ e, d & e
+        second = two | (de & one)
+        out.append(((first & second) | ((one ^ de) & (first | second))) ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
     return out
 
 
