@@ -46,9 +46,9 @@ SELECT p.*, declared_freq FROM postings p JOIN (
 # ---------------------------------------------------------------------------------------------- text and index
 
 _C = T.TOKEN_CLASS
-_FIELDS = """f AS (SELECT object_id, field_id, field_value AS text FROM object_fields
+FIRST_LOADS = """f AS (SELECT object_id, field_id, field_value AS text FROM object_fields
   QUALIFY row_number() OVER (PARTITION BY object_id, field_id ORDER BY loaded_at NULLS FIRST, row_id) = 1)"""
-_TOKENS = f"""{_FIELDS},
+_TOKENS = f"""{FIRST_LOADS},
 tok AS (SELECT object_id, field_id, regexp_extract_all(text, '([^{_C}]*)([{_C}]+)', 1) AS gaps,
   regexp_extract_all(text, '([^{_C}]*)([{_C}]+)', 2) AS ws FROM f WHERE text IS NOT NULL),
 t0 AS (SELECT object_id, field_id, unnest(range(len(ws))) AS i, unnest(gaps) AS g, unnest(ws) AS word FROM tok),
@@ -94,7 +94,7 @@ o AS (SELECT token, segment_id, object_id, CAST(i % 64 AS INTEGER) AS pos, CASE
   FROM t JOIN norm USING (word) JOIN s USING (object_id, field_id) WHERE segment_no = i // 64)"""
 _LEX = "SELECT token, count(*) AS freq FROM o GROUP BY token"
 _KEPT = "HAVING count(*) BETWEEN 5 AND 30000000"
-_PAIRS = f"""{_FIELDS},
+_PAIRS = f"""{FIRST_LOADS},
 tok AS (SELECT object_id, field_id, regexp_extract_all(lower(text), '[{_C}]+') AS ws FROM f WHERE text IS NOT NULL),
 b AS (SELECT unnest(ws[:-2]) AS token, unnest(ws[2:]) AS next_token FROM tok WHERE len(ws) > 1)"""
 
@@ -266,14 +266,14 @@ allowed AS (SELECT object_id FROM c WHERE "year" >= 1960),
 both_ AS (SELECT 0 AS tier, object_id, 0.0 AS score, 0 AS matches_count, row_number() OVER (ORDER BY score DESC, object_id DESC) AS k FROM m WHERE object_id IN (SELECT object_id FROM allowed)
   UNION ALL SELECT 1, object_id, round(raw, 6), matches_count, rank + (SELECT count(*) FROM m WHERE object_id IN (SELECT object_id FROM allowed)) FROM ranked)
 SELECT g AS "start", CAST(k - 1 AS INTEGER) AS position, tier, object_id, score, matches_count, (SELECT count(*) FROM both_) AS total FROM both_ CROSS JOIN (VALUES (0), (8)) v(g) WHERE k > g AND k <= g + 8""",
-    "snippets": f"WITH {_FIELDS}, {_refined(_TWO)}{_SNIPPETS} SELECT query_id, object_id, place - 1 AS place, field_id, segment_id, snippet FROM snip WHERE place <= 2",
-    "highlight": f"WITH {_FIELDS}, {_refined(_TWO)}{_SNIPPETS} SELECT query_id, object_id, place - 1 AS place, marked FROM snip JOIN mk USING (query_id, segment_id) WHERE place <= 2",
-    "digest": f"""WITH {_FIELDS}, {_NEWEST}, {_refined({0: ['the', 'of']}, 100)}{_SNIPPETS}
+    "snippets": f"WITH {FIRST_LOADS}, {_refined(_TWO)}{_SNIPPETS} SELECT query_id, object_id, place - 1 AS place, field_id, segment_id, snippet FROM snip WHERE place <= 2",
+    "highlight": f"WITH {FIRST_LOADS}, {_refined(_TWO)}{_SNIPPETS} SELECT query_id, object_id, place - 1 AS place, marked FROM snip JOIN mk USING (query_id, segment_id) WHERE place <= 2",
+    "digest": f"""WITH {FIRST_LOADS}, {_NEWEST}, {_refined({0: ['the', 'of']}, 100)}{_SNIPPETS}
 SELECT query_id, CAST(len(list_filter(ps, lambda p: regexp_matches(ws[p + 1], '^[{T.UPPER_CLASS}]'))) AS INTEGER) AS cases, round(relevance, 6) AS relevance, marked, snip.object_id, segment_id,
   '[' || trim(coalesce(author, '')) || ' ' || coalesce(title, '') || ']' AS book
 FROM snip JOIN mk USING (query_id, segment_id) JOIN c ON c.object_id = snip.object_id
 WHERE place <= 100 AND len(ps) >= 2 AND list_max(ps) - list_min(ps) + 1 <= 3""",
-    "service_json": f"""WITH {_WORDS}, {_MENTIONS.format(chr(39) + 'splav' + chr(39) + ', ' + chr(39) + 'na' + chr(39), 2)}, {_FIELDS},
+    "service_json": f"""WITH {_WORDS}, {_MENTIONS.format(chr(39) + 'splav' + chr(39) + ', ' + chr(39) + 'na' + chr(39), 2)}, {FIRST_LOADS},
 allowed AS (SELECT object_id FROM c WHERE "year" >= 1960),
 {_refined({0: ['splav', 'na']}, 100, objects='SELECT object_id FROM allowed')}{_SNIPPETS},
 named AS (SELECT object_id, row_number() OVER (ORDER BY score DESC, object_id DESC) AS k FROM m WHERE object_id IN (SELECT object_id FROM allowed)),
