@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import chunking, cooccurrence, encoding, leakage, names, packing, pii, termfreq
+from shelfspark.operators.index import first_loads
+from shelfspark.plans.oracles import FIRST_LOADS
 from shelfspark.session import load
 
 WORDS = "[0-9A-Za-zА-Яа-яЁё]+"
@@ -75,8 +77,8 @@ def p7_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _field_words(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "object_fields").select(
-        "object_id", F.regexp_extract_all(F.lower("field_value"), F.lit(WORDS), F.lit(0)).alias("words"))
+    return first_loads(load(spark, d, "object_fields")).select(
+        "object_id", F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)).alias("words"))
 
 
 def p7_ngrams(spark: SparkSession, d: str) -> DataFrame:
@@ -146,13 +148,13 @@ ORACLES = {
     "p7_found": f"SELECT token, mark FROM ({_P7}) WHERE mark IS NOT NULL",
     "p7_terms": _P7,
     "p7_ngrams": f"""
-WITH w AS (SELECT row_id, object_id, regexp_extract_all(lower(field_value), '{WORDS}') AS ws FROM object_fields WHERE field_value IS NOT NULL),
-g AS (SELECT row_id, object_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+WITH {FIRST_LOADS}, w AS (SELECT object_id, regexp_extract_all(lower(text), '{WORDS}') AS ws FROM f WHERE text IS NOT NULL),
+g AS (SELECT object_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 n AS (SELECT object_id, unnest([1, 2, 3]) AS n, ws, i FROM g)
 SELECT array_to_string(ws[i:i + n - 1], ' ') AS ngram, CAST(n AS INTEGER) AS n, count(*) AS frequency, count(DISTINCT object_id) AS records
 FROM n WHERE i + n - 1 <= len(ws) GROUP BY 1, 2 HAVING count(*) >= 5""",
 }
 ORACLES["p7_ngram_marks"] = f"""
 WITH a AS ({ORACLES["p7_ngrams"].removesuffix(" HAVING count(*) >= 5")}),
-t AS (SELECT count(DISTINCT object_id) AS n_records FROM object_fields WHERE len(regexp_extract_all(field_value, '{WORDS}')) > 0)
+{FIRST_LOADS}, t AS (SELECT count(DISTINCT object_id) AS n_records FROM f WHERE len(regexp_extract_all(text, '{WORDS}')) > 0)
 SELECT a.*, n_records, CASE WHEN frequency < 5 THEN 'rare' WHEN records * 100 >= n_records * 40 THEN 'common' END AS mark FROM a CROSS JOIN t"""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.operators.balance import plan_placement
+from shelfspark.operators.balance import cut_arrays, plan_placement
 
 #: Layout of an occurrence code: segment * 2^28 + object * 2^8 + pos * 4 + weight.
 OBJECT_SHIFT, OBJECT_BITS = 8, 20
@@ -25,8 +25,8 @@ def object_of(code: Column) -> Column:
     return F.shiftright(code, OBJECT_SHIFT).bitwiseAND(F.lit((1 << OBJECT_BITS) - 1))
 
 
-def _stack_pass(sigma: int, shift: int, bits: int):
-    mask = (1 << bits) - 1
+def _stack_pass(shift: int, bits: int, distinct: bool):
+    mask = -1 if bits >= 64 else (1 << bits) - 1
 
     def run(batches):
         stack: list[tuple[str, list[np.ndarray]]] = []  # terms of the current suffix, each with its occurrences
@@ -34,8 +34,8 @@ def _stack_pass(sigma: int, shift: int, bits: int):
         current = None
 
         def pop():
-            codes = stack[-1][1]
-            codes = np.unique(np.concatenate(codes)) if len(codes) > 1 else np.unique(codes[0])
+            codes = np.concatenate(stack[-1][1])
+            codes = np.unique(codes) if distinct else codes
             records = len(np.unique((codes >> shift) & mask))
             out.append((SEPARATOR.join(t for t, _ in stack), len(codes), records))
             stack.pop()
@@ -73,7 +73,7 @@ def _stack_pass(sigma: int, shift: int, bits: int):
                 stack[-1][1].append(codes)
                 held = stack[-1][1]
                 if len(held) > 4096:  # bounds the number of small arrays, and repeated chunks fold together
-                    held[:] = [np.unique(np.concatenate(held))]
+                    held[:] = [np.unique(np.concatenate(held)) if distinct else np.concatenate(held)]
             if len(out) >= 8192:
                 yield batch_out()
         while stack:
@@ -84,36 +84,26 @@ def _stack_pass(sigma: int, shift: int, bits: int):
 
 
 def suffix_counts(
-    suffixes: DataFrame, suffix: str, codes: str, sigma: int = 1, shift: int = OBJECT_SHIFT, bits: int = OBJECT_BITS
+    suffixes: DataFrame, suffix: str, codes: str, shift: int = OBJECT_SHIFT, bits: int = OBJECT_BITS, distinct: bool = True,
 ) -> DataFrame:
     """``(ngram, frequency, records)`` of all prefixes of all suffixes; terms of an n-gram are joined by U+001F.
 
-    ``suffix`` is a string of at most ``sigma`` terms joined by U+001F, ``codes`` an array of occurrence codes whose record is
-    ``(code >> shift) & (2^bits - 1)``. A repeated code counts once for its n-gram. Null suffixes, null or empty arrays and
-    null codes add nothing.
+    ``suffix`` is a string of terms joined by U+001F, ``codes`` an array of occurrence codes whose record is
+    ``(code >> shift) & (2^bits - 1)``. A repeated code counts once for its n-gram, unless ``distinct`` is false. Null suffixes,
+    null or empty arrays and null codes add nothing.
     """
-    rows = suffixes.select(F.col(suffix).alias("_suffix"), F.array_compact(F.col(codes)).alias("_codes")).where(
-        F.col("_suffix").isNotNull() & (F.size("_codes") > 0)
-    ).withColumn("_first", F.substring_index("_suffix", SEPARATOR, 1))
-    placement = plan_placement(rows, "_first", weight=F.size("_codes"))
-    heavy = placement.heavy.select(F.col("key").alias("_heavy_key"), F.col("slots").alias("_slots"))
-    n_buckets = len(placement.bucket_tasks)
-    record = lambda c: F.shiftright(c, shift).bitwiseAND(F.lit((1 << bits) - 1))
+    rows = suffixes.select(F.col(suffix).alias("_suffix"), F.col(codes).alias("_codes")).where(F.col("_suffix").isNotNull()).withColumn(
+        "_first", F.substring_index("_suffix", SEPARATOR, 1))
+    placement = plan_placement(rows, "_first", weight=F.when(F.col("_codes").isNotNull(), F.size("_codes")))
+    record = lambda c: c if bits >= 64 else F.shiftright(c, shift).bitwiseAND(F.lit((1 << bits) - 1))
     routed = (
-        rows.join(F.broadcast(heavy), F.col("_first") == F.col("_heavy_key"), "left")
-        .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.coalesce(F.size("_slots"), F.lit(1)) - 1)))
-        .withColumn("_codes", F.when(F.isnull("_slots"), F.col("_codes")).otherwise(F.filter(
-            "_codes", lambda c: F.pmod(record(c), F.size("_slots").cast("long")) == F.col("_shard").cast("long"))))
-        .where(F.size("_codes") > 0)
-        .withColumn("_task", F.coalesce(
-            F.col("_slots")[F.col("_shard")],
-            F.lit(placement.bucket_tasks)[F.pmod(F.xxhash64("_first"), F.lit(n_buckets)).cast("int")]))
+        cut_arrays(rows, "_first", "_codes", placement, record)
         .select("_suffix", "_codes", "_shard", "_task")
         .repartitionById(placement.n_tasks, F.col("_task"))
         .sortWithinPartitions(F.col("_shard").desc(), F.col("_suffix").desc())
         .select("_suffix", "_codes")
     )
-    counted = routed.mapInArrow(_stack_pass(sigma, shift, bits), "ngram string, frequency long, records long")
+    counted = routed.mapInArrow(_stack_pass(shift, bits, distinct), "ngram string, frequency long, records long")
     return counted.groupBy("ngram").agg(F.sum("frequency").alias("frequency"), F.sum("records").alias("records"))
 
 
@@ -141,17 +131,14 @@ def term_marks(chunks: DataFrame, rare_below: int = 5, common_percent: int = 40)
 def ngram_counts(fields: DataFrame, words: str, record: str, sigma: int = 3, least: int = 5) -> DataFrame:
     """``(ngram, n, frequency, records)`` of all n-grams of up to ``sigma`` terms that occur ``least`` times or more.
 
-    ``words`` is an array column, one text a row; ``record`` an integer below 2^24 that says in which record it stands.
+    ``words`` is an array column, one text a row; ``record`` any integer that says in which record it stands. Every row is a
+    text of its own, so occurrences need no code but their record.
     """
-    rows = fields.select(
-        F.monotonically_increasing_id().alias("_text"), F.col(record).cast("long").alias("_record"), F.col(words).alias("_words"))
+    rows = fields.select(F.col(record).cast("long").alias("_record"), F.col(words).alias("_words"))
     # Suffixes are cut before the explode: else each of its rows would carry the whole text.
     cut = F.transform("_words", lambda w, i: F.array_join(F.slice("_words", i + 1, F.lit(sigma)), SEPARATOR))
-    suffixes = rows.select("_text", "_record", F.posexplode(cut).alias("_at", "suffix")).select(
-        "suffix",
-        # A code here is (hash of text and place) and record, unique enough to tell occurrences of one n-gram apart.
-        F.array(F.shiftleft(F.xxhash64("_text", "_at").bitwiseAND(F.lit((1 << 39) - 1)), 24).bitwiseOR(F.col("_record"))).alias("codes"))
-    counted = suffix_counts(suffixes, "suffix", "codes", sigma, shift=0, bits=24)
+    suffixes = rows.select("_record", F.explode(cut).alias("suffix")).select("suffix", F.array("_record").alias("codes"))
+    counted = suffix_counts(suffixes, "suffix", "codes", 0, 64, False)
     return counted.where(F.col("frequency") >= least).select(
         "ngram", F.size(F.split("ngram", SEPARATOR)).alias("n"), "frequency", "records")
 

@@ -97,6 +97,12 @@ def test_suffix_counts_equal_brute_force(spark):
     assert got == {g: (n, len(seen[g])) for g, n in want.items()}
 
 
+def test_records_may_be_any_number(spark):
+    df = spark.createDataFrame([(1, ["a"]), (1 + 2**24, ["a"]), (2 + 2**25, ["a", "b"]), (-(2**62), ["a"]), (1, ["a", "a"])], "r long, ws array<string>")
+    got = {r["ngram"]: (r["frequency"], r["records"]) for r in termfreq.ngram_counts(df, "ws", "r", 1, 1).collect()}
+    assert got == {"a": (6, 4), "b": (1, 1)}
+
+
 def test_rare_ngrams_are_marked_not_dropped(spark, data):
     compare(spark, QUERIES, ORACLES, ["p7_ngram_marks"], data)
     marks = {r["mark"] for r in QUERIES["p7_ngram_marks"](spark, data).select("mark").distinct().collect()}
