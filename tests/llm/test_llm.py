@@ -444,19 +444,19 @@ LATIN_NAMES = [
 def test_names_with_any_letters(name):
     text = f"geprüft hat {name}, gestern"
     assert [text[a:b] for a, b, k in pii.find_entities(text)] == [name]
-    assert name not in pii.replace(text, [(12, 12 + len(name), "name")])[1]
+    assert name not in pii.replace(text, [(12, 12 + len(name), "name")], "k")[1]
 
 
 @pytest.mark.parametrize("name", ["Åsa Øst", "Íñigo Örn", "Νίκος Παππάς"])
 def test_announced_names_with_any_letters(name):
     text = f"Signed by {name} yesterday"
-    assert [text[a:b] for a, b, _ in pii.find_entities(text)] == [name] and name.split()[1] not in pii.replace(text, pii.find_entities(text))[1]
+    assert [text[a:b] for a, b, _ in pii.find_entities(text)] == [name] and name.split()[1] not in pii.replace(text, pii.find_entities(text), "k")[1]
 
 
 def test_replacement_keeps_the_rest_and_tells_entities_apart():
     text = "Иван Петров, Ivan@a.example, Анна Петрова и Иван Петров; 8 512 860-10-31"
     found = pii.find_entities(text)
-    tagged, named = pii.replace(text, found)
+    tagged, named = pii.replace(text, found, "k")
     keep, at = [], 0
     for a, b, _ in found:
         keep.append(text[at:a])
@@ -465,11 +465,42 @@ def test_replacement_keeps_the_rest_and_tells_entities_apart():
     tags = pii.re.findall(r"\[[A-Z]+_[0-9a-f]+\]", tagged)
     assert tags[0] == tags[3] and len(set(tags)) == 4
     assert named.count("Петров") == 0 or "Иван Петров" not in named
-    assert pii.GENDER[named.split()[0]] == ("ru", "m") and pii.replace(text, found) == (tagged, named)
+    assert pii.GENDER[named.split()[0]] == ("ru", "m") and pii.replace(text, found, "k") == (tagged, named) != pii.replace(text, found, "l")
 
 
 def test_pii_tables(spark):
     df = spark.createDataFrame([(1, "a@b.example и a@b.example", 5), (1, "a@b.example и a@b.example", 5), (2, None, 5), (3, "", 5), (4, "x " * 100_000, 5)], "doc_id long, text string, start int")
     assert pii.found_entities(df).count() == 4
-    rows = {r["doc_id"]: r for r in pii.redacted(df).collect()}
-    assert rows[1]["n_entities"] == 2 and rows[2]["text_placeholders"] is None and rows[3]["text_placeholders"] == "" and pii.redacted(df).count() == 5
+    rows = {r["doc_id"]: r for r in pii.redacted(df, "k").collect()}
+    assert rows[1]["n_entities"] == 2 and rows[2]["text_placeholders"] is None and rows[3]["text_placeholders"] == "" and pii.redacted(df, "k").count() == 5
+
+
+OTHER_PII = [
+    ("met Maria Gonzalez there", "Maria Gonzalez"), ("by Wei Zhang in", "Wei Zhang"), ("an Herr Jürgen Müller und", "Jürgen Müller"), ("and Priya Sharma said", "Priya Sharma"),
+    ("with Mohammed Al-Sayed today", "Mohammed Al-Sayed"), ("avec Jean Dupont hier", "Jean Dupont"), ("пришла Айгуль Нурланова вчера", "Айгуль Нурланова"), ("tel +33 1 42 68 53 00 ok", "+33 1 42 68 53 00"),
+    ("au 12 rue de Rivoli, 75001 Paris, hier", "12 rue de Rivoli, 75001 Paris"), ("dear Mrs. Keziah Brown, we", "Keziah Brown"),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), OTHER_PII)
+def test_entities_of_other_countries(text, want):
+    assert [text[a:b] for a, b, _ in pii.find_entities(text)] == [want]
+
+
+def test_one_entity_has_one_replacement():
+    text = "Иван Петров; Петров Иван; 8 (512) 860-10-31; +7 512 860 10 31"
+    tagged, named = pii.replace(text, pii.find_entities(text), "k")
+    tags = pii.re.findall(r"\[[A-Z]+_[0-9a-f]{16}\]", tagged)
+    assert len(tags) == 4 and tags[0] == tags[1] and tags[2] == tags[3]
+    a, b, x, y = named.split("; ")
+    assert sorted(a.split()) == sorted(b.split()) and a != "Иван Петров"
+    assert pii._national(x) == pii._national(y) != "5128601031" and x.startswith("8 (") and y.startswith("+7 ")
+
+
+def test_the_corpus_teaches_given_names(spark):
+    docs = [(i, f"Signed by Zorblat {s} today") for i, s in enumerate(["Quux", "Frobnitz", "Wibble", "Wobble"])] + [(9, "and then Zorblat Grault came"), (10, "Posted by Lone Ranger"), (11, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert pii.given_names(df) == {"Zorblat"} and pii.given_names(df.limit(0)) == frozenset()
+    assert [r["pii_text"] for r in pii.found_entities(df).where("doc_id = 9").collect()] == ["Zorblat Grault"]
+    with pytest.raises(ValueError):
+        pii.redacted(df, "")
