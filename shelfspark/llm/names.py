@@ -346,6 +346,9 @@ RECORD = "kind string, core string, given string, patronymic string, type string
 def name_records(names: DataFrame, name: str = "author") -> DataFrame:
     """``(name, kind, core, given, patronymic, type, n)`` of the distinct spellings that hold a name, ``n`` rows each."""
     distinct = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    # Little data but much work a row: not to be merged into one task.
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = distinct.repartitionById(tasks, F.pmod(F.xxhash64("name"), F.lit(tasks)).cast("int"))
 
     def run(batches):
         for batch in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm import chunking, cooccurrence, encoding, leakage, names, packing, pii, termfreq
 from shelfspark.operators.index import first_loads
 from shelfspark.plans.oracles import FIRST_LOADS
-from shelfspark.session import load
+from shelfspark.session import cut_lineage, load
 
 WORDS = "[0-9A-Za-zА-Яа-яЁё]+"
 
@@ -23,6 +23,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_texts(load(spark, d, "object_fields"))
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each text give when laid end to end without their overlaps, and how many are over the limit."""
+    pieces = chunking.chunk_texts(load(spark, d, "object_fields"))
+    new = F.substring("piece", F.col("new_from") - F.col("start") + 1, F.length("piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("t")))), lambda x: x.t), "")
+    return pieces.groupBy("row_id").agg(F.md5(whole).alias("digest"), F.count_if(F.col("n_tokens") > chunking.MAX_TOKENS).alias("too_long"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.as_found(cooccurrence.strong(cooccurrence.token_associations(load(spark, d, "token_pairs"), 5), 5, 50))
 
@@ -101,6 +109,20 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(load(spark, d, "documents")))
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the documents placed, and how many containers or documents break a rule."""
+    docs = load(spark, d, "documents")
+    packed = cut_lineage(packing.pack(docs))
+    bins = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    split = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    letters = docs.select("doc_id", F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", "")).alias("letters")).where("letters <> ''")
+    copies = packed.join(letters, "doc_id").groupBy("container_id", "letters").agg(F.countDistinct("doc_id").alias("k")).where("k > 1")
+    return split.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= packing.CAPACITY)).alias("split_needlessly"),
+        F.count_if(F.col("tokens") != F.col("end")).alias("not_whole"),
+    ).crossJoin(bins.agg(F.count_if(F.col("used") > packing.CAPACITY).alias("overfull"))).crossJoin(copies.agg(F.count(F.lit(1)).alias("copies_together")))  # one row each
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -121,8 +143,8 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_pieces, p3_found, p3_associations, p3_all_associations, p5_found, p5_repaired, p6_found, p6_entities, p7_found, p7_terms, p7_ngrams, p7_ngram_marks,
-    p8_containers, p8_fill, p9_found, p9_report, p10_found, p10_redacted)}
+    p2_found, p2_pieces, p2_rebuilt, p3_found, p3_associations, p3_all_associations, p5_found, p5_repaired, p6_found, p6_entities, p7_found, p7_terms, p7_ngrams, p7_ngram_marks,
+    p8_containers, p8_fill, p8_checked, p9_found, p9_report, p10_found, p10_redacted)}
 
 _P3 = """
 WITH r AS (SELECT DISTINCT object_id, field_id, pair_no, token, next_token FROM token_pairs WHERE next_token IS NOT NULL),
@@ -145,6 +167,8 @@ FROM f LEFT JOIN k USING (token) CROSS JOIN o"""
 
 ORACLES = {
     "p2_found": f"SELECT row_id FROM object_fields WHERE len(regexp_extract_all(field_value, '{WORDS}')) > 512",
+    "p2_rebuilt": "SELECT row_id, md5(field_value) AS digest, 0 AS too_long FROM object_fields WHERE field_value IS NOT NULL",
+    "p8_checked": "SELECT count(DISTINCT doc_id) AS documents, 0 AS split_needlessly, 0 AS not_whole, 0 AS overfull, 0 AS copies_together FROM documents",
     "p3_found": f"SELECT item_a AS token_a, item_b AS token_b FROM ({_P3}) WHERE n_ab * n_total >= 50 * n_a * n_b",
     "p3_associations": _P3,
     "p3_all_associations": _P3.removesuffix(" WHERE n_ab >= 5"),
