@@ -4,6 +4,7 @@ Detection works on whole texts in Arrow-batched passes: patterns with checks of
 and identity numbers and postal addresses. Names are found in two ways: after words that announce or address a person, by
 shape alone, and around given names, patronymics and initials. Given names are common ones and those that the corpus itself
 teaches: a first pass counts the first words of announced names, and one that stands before several surnames is a given name.
+There may be any number of them, so they are joined to the texts that hold them and not sent to the driver.
 
 Every entity gets a *placeholder* such as ``[NAME_5d2c01]`` and a *surrogate* of the same kind: keyed digests of its canonical form
 choose digits for digits and letters for letters, and for names another given name of the same gender and script. The
@@ -198,9 +199,29 @@ def _script(word: str) -> str:
     return "ru" if "Ѐ" <= word[0] <= "ӿ" else "en"
 
 
+def _capitalised(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), unicodedata.normalize("NFC", m[0])) for m in CAP.finditer(text)]
+
+
+# All that ``_assemble`` accepts between two parts of a name.
+_GAPS = ("", " ", "\u00a0", ", ")
+
+
+def teachable(text: str) -> set[str]:
+    """The words for which it matters to ``find_names`` whether they are learned: not known anyway, and with another capitalised word beside them."""
+    caps, words = _capitalised(text), set()
+    near = [text[x[1]:y[0]] in _GAPS for x, y in zip(caps, caps[1:])]
+    for before, after, (_, _, w) in zip([False, *near], [*near, False], caps):
+        if before or after:
+            w = w.title() if w.isupper() else w
+            if w not in GENDER:
+                words.add(w)
+    return words
+
+
 def find_names(text: str, learned: frozenset[str] = frozenset()):
     """Names as written, without title or role."""
-    caps = [(m.start(), m.end(), unicodedata.normalize("NFC", m[0])) for m in CAP.finditer(text)]
+    caps = _capitalised(text)
     last, spans = -1, []
     for i, (a, b, w) in enumerate(caps):
         if a < last:
@@ -443,13 +464,13 @@ def replace(text: str, entities: list[tuple[int, int, str]], key: str) -> tuple[
     return "".join([*with_tags, text[at:]]), "".join([*with_names, text[at:]])
 
 
-LEAST_SURNAMES, MOST_LEARNED = 3, 20_000
+LEAST_SURNAMES = 3
 
 
-def given_names(docs: DataFrame, text: str = "text") -> frozenset[str]:
-    """Given names that the corpus teaches: words that stand first in announced names, before ``LEAST_SURNAMES`` different
-    surnames at least and more often than last. All texts are read; a name must also have a share of one in ``MOST_LEARNED``
-    of all announcements, so there are never more than that many, whatever the data."""
+def given_name_table(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(word)``: the given names that the corpus teaches, words that stand first in announced names, before ``LEAST_SURNAMES``
+    different surnames at least and more often than last. All texts are read and all such words kept; how many other names are
+    announced does not count."""
 
     def run(batches):
         for batch in batches:
@@ -464,13 +485,42 @@ def given_names(docs: DataFrame, text: str = "text") -> frozenset[str]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["given", "surname"])
 
     pairs = docs.where(F.length(text) > 0).select(text).mapInArrow(run, "given string, surname string").distinct()
-    sides = pairs.select(F.col("given").alias("w"), F.lit(1).alias("g"), F.lit(0).alias("s")).unionByName(
-        pairs.select(F.col("surname").alias("w"), F.lit(0).alias("g"), F.lit(1).alias("s")))
-    words = sides.groupBy("w").agg(F.sum("g").alias("g"), F.sum("s").alias("s")).where(F.col("g") > 0)
-    total = words.agg(F.sum("g").alias("total"))
-    good = words.crossJoin(F.broadcast(total)).where(  # one row
-        (F.col("g") >= LEAST_SURNAMES) & (F.col("g") > 2 * F.col("s")) & (F.col("g") * MOST_LEARNED >= F.col("total")))
-    return frozenset(r["w"] for r in good.select("w").collect() if len(r["w"]) > 2 and r["w"] not in ROLES)
+    sides = pairs.select(F.inline(F.array(*(  # both from one scan
+        F.struct(F.col(c).alias("word"), F.lit(int(c == "given")).alias("g"), F.lit(int(c == "surname")).alias("s")) for c in ("given", "surname")))))
+    words = sides.groupBy("word").agg(F.sum("g").alias("g"), F.sum("s").alias("s"))
+    return words.where(
+        (F.col("g") >= LEAST_SURNAMES) & (F.col("g") > 2 * F.col("s")) & (F.length("word") > 2) & ~F.col("word").isin(sorted(ROLES))).select("word")
+
+
+def given_names(docs: DataFrame, text: str = "text") -> frozenset[str]:
+    """``given_name_table`` as a set, for callers who want to keep it for other texts (``learned``). It comes to the driver whole;
+    the operators below do not use it."""
+    return frozenset(r["word"] for r in given_name_table(docs, text).collect())
+
+
+def _with_given_names(docs: DataFrame, id_column: str, text: str, learned: frozenset[str] | None) -> DataFrame:
+    """``(id, text, given)``, one row for each of ``docs``; ``given`` are the words of the text that the corpus teaches, null for none.
+
+    What is learned is joined by word, then by a hash of the row, so no machine has to hold all of it. Rows of one hash get the words
+    of each other, which changes nothing, as only words that stand in a text are looked up.
+    """
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    if learned is not None:
+        return rows.withColumn("given", F.lit(None).cast("array<string>"))
+
+    def run(batches):
+        for batch in batches:
+            keys, take, words = batch.column(0), [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for w in teachable(t):
+                    take.append(i)
+                    words.append(w)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int64())), pa.array(words, pa.string())], ["key", "word"])
+
+    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    words = rows.where(F.length("text") > 0).select("key", "text").mapInArrow(run, "key long, word string")
+    given = words.join(given_name_table(docs, text), "word").groupBy("key").agg(F.collect_set("word").alias("given"))
+    return rows.join(given, "key", "left").select("id", "text", "given")
 
 
 def found_entities(docs: DataFrame, id_column: str = "doc_id", text: str = "text", learned: frozenset[str] | None = None) -> DataFrame:
@@ -478,14 +528,14 @@ def found_entities(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     ``learned`` are given names beside the common ones; by default the texts teach them.
     """
-    known = docs.sparkSession.sparkContext.broadcast(given_names(docs, text) if learned is None else learned)  # at most MOST_LEARNED
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(learned or ()))  # the caller's own
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             ids, take, rows = batch.column(0), [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for a, b, kind in find_entities(t, known.value):
+            for i, (t, given) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for a, b, kind in find_entities(t, frozenset(given) if given else known.value):
                     take.append(i)
                     rows.append((kind, a, t[a:b]))
             cols = list(zip(*rows)) or [(), (), ()]
@@ -493,7 +543,7 @@ def found_entities(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 [ids.take(pa.array(take, pa.int64())), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())],
                 [id_column, "pii_type", "start", "pii_text"])
 
-    return docs.where(F.length(text) > 0).select(id_column, text).mapInArrow(
+    return _with_given_names(docs.where(F.length(text) > 0), id_column, text, learned).mapInArrow(
         run, f"`{id_column}` {id_type}, pii_type string, start int, pii_text string")
 
 
@@ -505,14 +555,14 @@ def redacted(docs: DataFrame, key: str, id_column: str = "doc_id", text: str = "
     """
     if not key:
         raise ValueError("a secret key is needed")
-    known = docs.sparkSession.sparkContext.broadcast(given_names(docs, text) if learned is None else learned)  # at most MOST_LEARNED
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(learned or ()))  # the caller's own
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             counts, tagged, named = [], [], []
-            for t in batch.column(1).to_pylist():
-                entities = find_entities(t, known.value) if t else []
+            for t, given in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                entities = find_entities(t, frozenset(given) if given else known.value) if t else []
                 x, y = replace(t, entities, key) if entities else (t, t)
                 counts.append(len(entities))
                 tagged.append(x)
@@ -521,5 +571,5 @@ def redacted(docs: DataFrame, key: str, id_column: str = "doc_id", text: str = "
                 [batch.column(0), pa.array(counts, pa.int32()), pa.array(tagged, pa.string()), pa.array(named, pa.string())],
                 [id_column, "n_entities", "text_placeholders", "text_surrogates"])
 
-    return docs.select(id_column, text).mapInArrow(
+    return _with_given_names(docs, id_column, text, learned).mapInArrow(
         run, f"`{id_column}` {id_type}, n_entities int, text_placeholders string, text_surrogates string")

@@ -504,3 +504,23 @@ def test_the_corpus_teaches_given_names(spark):
     assert [r["pii_text"] for r in pii.found_entities(df).where("doc_id = 9").collect()] == ["Zorblat Grault"]
     with pytest.raises(ValueError):
         pii.redacted(df, "")
+
+
+def test_given_names_are_learned_however_many_others_are_announced(spark):
+    def word(i):
+        return "Q" + "".join("bcdfghjklm"[int(c)] + "a" for c in str(i))
+
+    names = [word(i) for i in range(20_001)]  # 60,003 announcements
+    docs = [(k, "; ".join(f"Signed by {n} {s}" for n in names[k:k + 100] for s in ("Xub", "Wibble", "Wobble"))) for k in range(0, len(names), 100)]
+    df = spark.createDataFrame([*docs, (-1, f"and then {names[-1]} Grault came"), (-1, f"then GRAULT, {names[7].upper()} came"), (-2, None)], "doc_id long, text string").repartition(4)
+    assert pii.given_names(df) == set(names)
+    assert {r["pii_text"] for r in pii.found_entities(df).where("doc_id = -1").collect()} == {f"{names[-1]} Grault", f"GRAULT, {names[7].upper()}"}
+    assert sorted((r["doc_id"], r["n_entities"]) for r in pii.redacted(df, "k").where("doc_id < 0").collect()) == [(-2, 0), (-1, 1), (-1, 1)]
+
+
+def test_words_that_cannot_be_taught_change_nothing():
+    texts = ["Zorblat Grault", "Grault, Zorblat", "ZORBLAT\u00a0GRAULT", "A.Zorblat", "B. Zorblat Grault", "Zorblat. Grault came", "Zorblat C. Grault", "Zo\u0308rb Grault", "Зорблат Иванов", "Иванов Зорблат"]
+    taught = frozenset(["Zorblat", "Grault", "Z\u00f6rb", "Зорблат"])
+    for t in texts:
+        assert pii.find_names(t, taught) == pii.find_names(t, taught & pii.teachable(t))
+    assert pii.teachable("Zorblat. Grault came; Иван Петров") == {"Петров"}
