@@ -11,6 +11,7 @@ from shelfspark.functions import text as T
 from shelfspark.operators import balance, bigrams
 from shelfspark.operators import catalogue as C
 from shelfspark.operators import index as I
+from shelfspark.plans import batch as B
 from shelfspark.plans import compose as P
 from shelfspark.plans import search as S
 from shelfspark.plans.oracles import ORACLES, WORDS  # noqa: F401
@@ -226,10 +227,10 @@ def search_compat(spark: SparkSession, d: str) -> DataFrame:
 
 def search_batch(spark: SparkSession, d: str) -> DataFrame:
     """The first five words of every fiftieth segment as a query each, against all postings, in one plan."""
-    index = _index(spark, d)
-    words = load(spark, d, "postings").where("segment_id % 50 = 0 AND pos < 5").select(F.col("segment_id").alias("query_id"), F.col("pos").alias("place"), "token").distinct()
-    _, scores = S.rank(S.query_terms(words), index)
-    return S.ranked_page(scores, 0, 10).select("query_id", "rank", "object_id", F.round("score", 6).alias("score"), "matches_count", "total")
+    postings = load(spark, d, "postings")
+    words = postings.where("segment_id % 50 = 0 AND pos < 5").select(F.col("segment_id").alias("query_id"), F.col("pos").alias("place"), "token").distinct()
+    index = I.Index(B.counted_lexicon(postings), postings, load(spark, d, "segments"))  # blocks need no distinct rows
+    return B.best_of_queries(S.query_terms(words), index).withColumn("score", F.round("score", 6))
 
 
 def search_words(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from conftest import compare
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from shelfspark.functions import text as T
 from shelfspark.operators import balance, bigrams
 from shelfspark.operators import catalogue as C
 from shelfspark.operators import index as I
+from shelfspark.plans import batch as B
 from shelfspark.plans import compose as P
 from shelfspark.plans import search as S
 from shelfspark.plans.queries import ORACLES, QUERIES
@@ -326,6 +328,114 @@ def test_span_ties_and_compat(spark):
     assert {r["object_id"] for r in old.collect()} == {1}  # the last place of each key is passed over
 
 
+def paged(scores, first=0, count=10):
+    """The page by joining queries to postings, and the same columns."""
+    page = S.ranked_page(scores, first, count)
+    return {(r["query_id"], r["rank"], r["object_id"], round(r["score"], 9), r["matches_count"], r["total"]) for r in page.collect()}
+
+
+@pytest.mark.parametrize("seed, width", [(1, 64), (2, 64), (3, 200)])
+def test_blocks_answer_as_the_join_does(spark, seed, width):
+    """Ties, unknown words, rows posted twice, several tokens in one place, no object, places beyond a segment's 64."""
+    rng = random.Random(seed)
+    vocabulary = [f"t{i}" for i in range(30)]
+    rows, twice = [], []
+    for s in range(1500):
+        places = [rng.randrange(width) + 5 for _ in range(rng.choice([1, 2, 3, 40]))]
+        occ = {(vocabulary[min(int(rng.expovariate(0.15)), 29)], p, rng.randint(0, 1)) for p in places}
+        rows.append((s, None if s < 40 else s // 7, sorted(occ)))
+        if s % 9 == 0:
+            twice += [(t, s, rows[-1][1], p, w) for t, p, w in rows[-1][2]]
+    index = tiny(spark, rows, twice)
+    words = [(q, i, rng.choice(vocabulary[:rng.choice([3, 30])] + ["zz"])) for q in range(60) for i in range(rng.randint(1, 12))]
+    terms = S.query_terms(spark.createDataFrame(words, "query_id long, place int, token string"))
+    _, scores = S.rank(terms, index)
+    for first, count, rows_a_block in ((0, 10, 10**9), (2, 3, 500)):
+        got = B.best_of_queries(terms, index, first, count, block_rows=rows_a_block)
+        have = {(r["query_id"], r["rank"], r["object_id"], round(r["score"], 9), r["matches_count"], r["total"]) for r in got.collect()}
+        assert have == paged(scores, first, count) and len({r[0] for r in have}) > 50
+
+
+def test_blocks_prune_only_what_cannot_win(monkeypatch):
+    import math
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    occ = [(t, s, s // 3, p) for s in range(2000) for t, p in zip(rng.choices("abcdef", weights=[9, 9, 5, 3, 1, 1], k=24), rng.sample(range(64), 24))]
+    idf = {t: 1 / math.log(sum(o[0] == t for o in occ) + 2) for t in "abcdef"}
+    asked = []
+    for q in range(12):
+        tokens = sorted(rng.sample("abcdef", rng.randint(2, 5)), key=idf.get, reverse=True)
+        asked += [(t, q, i + 1, idf[t], 0.5 * sum(map(idf.get, tokens))) for i, t in enumerate(tokens)]
+    packed = pa.table({"token": pa.array([o[0] for o in occ]).dictionary_encode(), "segment_id": [o[1] for o in occ], "object_id": [o[2] for o in occ], "pos": [o[3] for o in occ]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, packed.schema) as writer:
+        writer.write_table(packed)
+    rows = [(sink.getvalue().to_pybytes(), *[None] * 5), *[(None, *x) for x in asked]]
+    kinds = [pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["rows", "token", "query_id", "slot", "idf", "min_weight"])
+
+    def answers(prune_from, dense):
+        monkeypatch.setattr(B, "PRUNE_FROM", prune_from)
+        monkeypatch.setattr(B, "DENSE", dense)
+        return [tuple(r.values()) for out in B._answers(10)([batch]) for r in out.to_pylist()]
+
+    plain = answers(10**9, 0)
+    assert len(plain) == 120 and plain == answers(3, 0) == answers(3, 10**9) == answers(100, 2)
+
+
+def test_a_lexicon_of_blocks(spark):
+    """Rows posted twice count once; a row is equal to another in its nulls too."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(9)]), rng.choice([None, 1, 2]), rng.choice([None, 1, 70]), rng.randint(0, 1)) for _ in range(900)]
+    postings = spark.createDataFrame(rows, "token string, segment_id long, object_id long, pos int, weight int").repartition(3)
+    for block_rows in (10**9, 50):
+        got = B.counted_lexicon(postings, 1, block_rows=block_rows)
+        assert {tuple(r) for r in got.collect()} == {(t, len({r for r in rows if r[0] == t})) for t in "abc"}
+    assert B.counted_lexicon(postings.limit(0)).count() == 0
+
+
+def test_shortest_stretch_against_brute_force():
+    rng = random.Random(3)
+    for width in (64, 150):
+        keys = [[rng.sample(range(width), rng.choice([1, 2, 9])) for _ in range(3)] for _ in range(300)]
+        words = -(-width // 64)
+        bits = np.array([[[sum(1 << p % 64 for p in segment[k] if p // 64 == w) for segment in keys] for w in range(words)] for k in range(3)], np.uint64)
+        want = [min(max(min((p for p in k if p >= a), default=999) for k in segment) - a + 1 for k0 in segment for a in k0) for segment in keys]
+        assert B.shortest(bits).tolist() == want
+
+
+def shuffled_rows(spark, run):
+    """Rows that the stages of ``run`` wrote for others."""
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._gateway.jvm
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(n for stage, n in stages().items() if stage > before)
+
+
+def test_matches_of_many_queries_do_not_travel(spark, tmp_path):
+    """60 queries that each match nearly all of 3,000 segments: what is shuffled follows the postings, not the matches."""
+    rng = random.Random(4)
+    rows = [(t, s, s // 5, p, 0) for s in range(3000) for p, t in enumerate(rng.sample("abcdefg", 5))]
+    spark.createDataFrame(rows, "token string, segment_id long, object_id long, pos int, weight int").write.parquet(str(tmp_path / "postings.parquet"))
+    spark.createDataFrame([(0, 0)], "segment_id long, object_id long").write.parquet(str(tmp_path / "segments.parquet"))
+    found = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are not this small
+    try:
+        assert shuffled_rows(spark, lambda: found.extend(QUERIES["search_batch"](spark, str(tmp_path)).collect())) < 5 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 600 and min(r["total"] for r in found) > 500
+
+
 # ---------------------------------------------------------------------------------------------- catalogue, composition
 
 
